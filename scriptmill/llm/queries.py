@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptmill.llm import pattern_pack, piece_codec
+from scriptmill.llm import decision_list, pattern_pack, piece_codec
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -23,7 +27,7 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op3_decision_list, op9_piece_codec, op10_pattern_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
