@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptmill.llm import decision_list, pattern_pack, piece_codec
+from scriptmill.llm import decision_list, licences, pattern_pack, piece_codec, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.history(_table(spark, sf_dir, "documents")).totals()
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -27,8 +35,8 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decision_list, op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op3_decision_list, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_token_rollup": token_rollup.SQL, "op7_licences": licences.sql()}
