@@ -13,9 +13,14 @@ packed each for itself; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -28,51 +33,83 @@ from scriptmill.llm.common import materialize, utf8_texts
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's table of encoded chunks, and the longest chunk it keeps.
-TABLE_ENTRIES, TABLE_CHUNK = 400_000, 64
+TABLE_ENTRIES, TABLE_CHUNK = 600_000, 64
 #: Partner lengths tried with each length when patterns of three are enumerated.
 TRIPLES = 10
 FIT_STEPS = 150
 
-_tokenizers: dict[str, object] = {}
-_tables: dict[str, dict[bytes, bytes]] = {}
+_TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Texts of ASCII and Latin-1 letters alone are split here as the tokenizer's own pattern splits them.
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\s]+")
 
+_encoders: dict[str, Encoder] = {}
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class Encoder:
+    """A tokenizer with tables of what it has encoded.
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path], _tables.setdefault(path, {})
+    This tokenizer drops white space and no merge crosses a word, so each distinct word is encoded once and
+    its ids are joined by position. New words go to the library many at a time; a word's last id has the
+    end-of-word mark. Texts with other letters than the plain ones have their chunks between blanks for words.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-_TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            ends[i] = token.endswith("</w>")
+        self.ends = ends
+        self.words: dict[str | bytes, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[str | bytes]) -> None:
+        for c in (w for w in words if type(w) is bytes):
+            self.words[c] = self.whole(c.decode("utf-8", "replace")).tobytes()
+        plain = [w for w in words if type(w) is str]
+        for lo in range(0, len(plain), 5000):
+            part = plain[lo : lo + 5000]
+            ids = self.whole(" ".join(part))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+            else:
+                self.words.update((w, self.whole(w).tobytes()) for w in part)
+
+    def split(self, text: bytes) -> list[str | bytes]:
+        s = text.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(s) and "<|" not in s:  # else it may hold a special token
+            return _WORDS.findall(s.lower())
+        return text.translate(_TO_SPACE).split()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        split = [self.split(t) for t in texts]
+        ids = [list(map(self.words.get, w)) for w in split]
+        holes = [list(compress(range(len(v)), map(not_, v))) if None in v else [] for v in ids]
+        missing = {w[i] for w, own in zip(split, holes) for i in own}
+        if len(self.words) + len(missing) > TABLE_ENTRIES:
+            self.words.clear()
+        self.learn(list(missing))
+        for w, v, own in zip(split, ids, holes):
+            for i in own:
+                v[i] = self.words[w[i]]
+        for w in missing:
+            if len(w) > TABLE_CHUNK:
+                del self.words[w]
+        return [b"".join(v) for v in ids]
 
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text.
-
-    This tokenizer drops white space and no merge crosses it, so each distinct chunk between blanks is
-    encoded once and its ids are joined by position.
-    """
-    tokenizer, table = _tokenizer(path)
-    split = [t.translate(_TO_SPACE).split() for t in texts]
-    missing = [c for c in dict.fromkeys(c for w in split for c in w) if c not in table]
-    if len(table) + len(missing) > TABLE_ENTRIES:
-        table.clear()
-        missing = list(dict.fromkeys(c for w in split for c in w))
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
-        for c, e in zip(part, encode([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-            table[c] = np.asarray(e.ids, "<u4").tobytes()
-    out = [b"".join(map(table.__getitem__, w)) for w in split]
-    for c in missing:
-        if len(c) > TABLE_CHUNK:
-            del table[c]
-    return out
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -81,6 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, end = TaskContext.get().partitionId(), Counter(), np.asarray([end_id], "<u4").tobytes()
+        gc.disable()  # nothing here is cyclic, and collections would walk the tables
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)

@@ -2,12 +2,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scriptmill.llm import pattern_pack as pp
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "a\x1cb", "é ̈x", "x y z", "it's 'S 12 ab--c", "<|endoftext|> <|x", "İSTANBUL ΣΑΣ", "😀 漢字\n\n\tz", "a" * 5000, "▁ b", "A  B"]
+LIBRARY = Tokenizer.from_file(PATH)
+ODD = ["", " ", "a\x1cb", "é ̈x", "x y z", "it's 'S 12 ab--c", "<|endoftext|> <|x", "İSTANBUL ΣΑΣ", "😀 漢字\n\n\tz", "a" * 5000, "▁ b", "A  B", "l'été d's 'tis x'll've ÿ×÷ß ÀÉ 3rd---x2", "a''s ''re'", "µª º"]
 
 
 def test_ids_equal_the_library():
@@ -17,6 +20,13 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(" \n'steéÉ×ß1<|-.À\u0301"), max_size=24))
+def test_ids_equal_the_library_on_any_text(x):
+    want = LIBRARY
+    assert np.frombuffer(pp.encode_texts([x.encode()], PATH)[0], "<u4").tolist() == want.encode(x, add_special_tokens=False).ids
+
+
 def test_plan_uses_the_histogram_exactly():
     rng = np.random.default_rng(1)
     for lengths in ([2048] * 3, [1] * 5000, rng.integers(1, 2049, 5000), [1500] * 40 + [3] * 7):
