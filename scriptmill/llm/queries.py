@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptmill.llm import decision_list, licences, pattern_pack, piece_codec, token_rollup
+from scriptmill.llm import decision_list, licences, pattern_pack, piece_codec, simhash, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.history(_table(spark, sf_dir, "documents")).totals()
 
@@ -35,7 +39,7 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decision_list, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op3_decision_list, op4_simhash, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
