@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptmill.llm import decision_list, licences, pattern_pack, piece_codec, simhash, token_rollup
+from scriptmill.llm import decision_list, licences, mih, pattern_pack, piece_codec, simhash, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,7 +44,7 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decision_list, op4_simhash, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op1_mih, op3_decision_list, op4_simhash, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
