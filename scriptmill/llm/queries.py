@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decision_list, licences, mih, pattern_pack, piece_codec, simhash, token_rollup
+from scriptmill.llm import decision_list, licences, mih, pattern_pack, piece_codec, simhash, suffix_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.history(_table(spark, sf_dir, "documents")).totals()
 
@@ -44,7 +48,7 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mih, op3_decision_list, op4_simhash, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op1_mih, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
