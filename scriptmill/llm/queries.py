@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import decision_list, licences, mih, pattern_pack, piece_codec, simhash, suffix_dedup, token_rollup
+from scriptmill.llm import causal_lm, decision_list, licences, mih, pattern_pack, piece_codec, simhash, suffix_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_causal_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return causal_lm.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -48,7 +52,7 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mih, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op1_mih, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op8_causal_lm, op9_piece_codec, op10_pattern_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
