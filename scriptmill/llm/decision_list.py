@@ -51,12 +51,17 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and counts of each text. No shuffle, no Python: arrays and higher-order functions."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and counts of each text. No shuffle, no Python: arrays and higher-order functions.
+
+    carry: the whole row comes along as ``__row``.
+    """
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("__row")] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, f"{SPACE_CLASS}+", -1), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     one = docs.select(
+        *row,
         F.col("doc_id").cast("long").alias("doc_id"),
         words.alias("words"),
         lines.alias("lines"),
@@ -74,9 +79,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     two = one.select("*", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).alias("windows"))
     h = lambda j: F.get("windows", j)["h"]
     twice = F.filter("windows", lambda x, j: (x["h"] == h(j + 1)) | ((j > 0) & (x["h"] == h(F.greatest(j - 1, F.lit(0))))))
-    three = two.select("*", twice.alias("twice"))
+    # An expression that isn't deterministic: filters on the counts stay above it, and its arrays are computed once.
+    three = two.select("*", F.when(F.monotonically_increasing_id() >= 0, twice).alias("twice"))
     covered = F.array_distinct(F.flatten(F.transform("twice", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return three.select(
+        *["__row"] * carry,
         "doc_id",
         n.cast("long").alias("n_words"),
         "word_chars",
@@ -162,9 +169,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Rules from at most ``sample_rows`` labelled documents."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
     sample = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(sample_rows)
-    own = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["doc_id"]).select(sample["doc_id"], docs["text"], "quality", "_h")
-    # Statistics keep the doc_id alone, so the label rides on it.
-    rows = statistics(own.select(F.struct("quality", "_h").alias("_label"), "doc_id", "text")).join(F.broadcast(sample), "doc_id").select("quality", "_h", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).orderBy("_h").limit(2 * sample_rows).collect()
+    own = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["doc_id"]).select(sample["doc_id"], docs["text"])
+    rows = statistics(own).join(F.broadcast(sample), "doc_id").select("quality", "_h", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).orderBy("_h").limit(2 * sample_rows).collect()
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     bad = np.array([r["quality"] == 0 for r in rows], bool)
     if not bad.any() or bad.all():
@@ -183,8 +189,17 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
+FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
+def keep(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that are kept, all columns unchanged."""
+    fine = ~F.expr(FAILED) & verdict(learn(docs, labels, sample_rows))
+    return statistics(docs, carry=True).where(fine).select("__row.*")
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the five counts, base_failed and kept."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = F.expr(FAILED)
     own = statistics(docs).withColumn("base_failed", failed)
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & verdict(learn(docs, labels, sample_rows))).alias("kept"))

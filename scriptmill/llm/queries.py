@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import causal_lm, decision_list, licences, mih, pattern_pack, piece_codec, simhash, suffix_dedup, token_rollup
+from scriptmill.llm import causal_lm, decision_list, licences, mih, pairwise_quality, pattern_pack, piece_codec, simhash, suffix_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mih, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op8_causal_lm, op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op1_mih, op2_pairwise_quality, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op8_causal_lm, op9_piece_codec, op10_pattern_pack)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -65,3 +65,6 @@ def test_edges(spark):
     out = dl.judge(docs, none).collect()
     assert len(out) == len(TEXTS) + 1 and all(r.kept == (not r.base_failed) for r in out)
     assert dl.judge(docs.limit(0), none).count() == 0
+    # A filter on a count doesn't drag the arrays into itself.
+    plan = dl.statistics(docs).where("n_repeat_words > 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1
