@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scriptmill.kernel.fixpoint import Rule
-from scriptmill.kernel.rules import folding, inlining, shaping
+from scriptmill.kernel.rules import bundles, flow, folding, inlining, shaping, strings
 
 DEFAULT: tuple[type[Rule], ...] = (
     shaping.VariableDeclarationSplit,
@@ -41,8 +41,17 @@ ALIASES = {
 }
 
 
-def preset_rules() -> dict[str, tuple[type[Rule], ...]]:
-    return {"generic": DEFAULT, "jsfuck": DEFAULT}
+OBFUSCATOR_IO = (strings.StringArrayRC4Decoder, strings.StringArrayDecoder, strings.StringArrayRotation, flow.ControlFlowArray, flow.ControlFlowFlattening, *DEFAULT)
+
+#: Rules of each preset, in order. Rules of one priority run in this order.
+PRESETS: dict[str, tuple[type[Rule], ...]] = {
+    "generic": DEFAULT,
+    "obfuscator-io": OBFUSCATOR_IO,
+    "akamai": (flow.InitializerInlining, flow.SwitchDispatch, *DEFAULT),
+    "datadome": (flow.SetTimeoutUnwrap, *OBFUSCATOR_IO),
+    "debundler": (bundles.BrowserifyAnnotation,),
+    "jsfuck": DEFAULT,
+}
 
 
 def resolve(name: str) -> str | None:
@@ -58,5 +67,5 @@ def rules_of(*presets: str) -> list[Rule]:
         name = resolve(p)
         if name is None:
             raise ValueError(f"no preset {p!r}; there are {', '.join(ALIASES)}")
-        out += [rule() for rule in preset_rules()[name]]
+        out += [rule() for rule in PRESETS[name]]
     return out
