@@ -12,7 +12,7 @@ from scriptmill.kernel.tree import EXPRESSIONS, FIELDS, STATEMENTS, Node
 MAIN, FINALIZE = "main", "finalize"
 FIRST, DEFAULT, LAST = 0, 1, 2
 #: Passes after which a main loop that doesn't converge is stopped and reported.
-PASS_LIMIT = 2000
+PASS_LIMIT = 10_000
 LISTS = frozenset(("Program", "Block", "Body", "Case", "StaticBlock"))
 
 

@@ -198,6 +198,8 @@ class BitwiseSimplification(Rule):
     def enter_expression(self, x: Node) -> Node | None:
         if x.kind not in self.interests:
             return None
+        if getattr(x, "plain", False):  # part of a tree that was found to hold no names
+            return None
         size, names = 0, []
         for n in walk(x):
             if n.kind == "Paren":
@@ -210,6 +212,9 @@ class BitwiseSimplification(Rule):
                 return None
             if len(names) > 2:
                 return None
+        if not names:
+            for n in walk(x):
+                n.plain = True
         if size < 3 or not names:
             return None
         single = len(names) == 1
