@@ -33,7 +33,7 @@ from scriptmill.llm.common import materialize, utf8_texts
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's table of encoded chunks, and the longest chunk it keeps.
-TABLE_ENTRIES, TABLE_CHUNK = 600_000, 64
+TABLE_ENTRIES, TABLE_CHUNK = 450_000, 64
 #: Partner lengths tried with each length when patterns of three are enumerated.
 TRIPLES = 10
 FIT_STEPS = 150

@@ -39,9 +39,9 @@ LENGTH, K = 100, 32
 REACH = LENGTH - K
 SEGMENT = 1 << 19
 POSITION_BITS = np.uint64(20)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Text for each bucket, documents sampled for splitters, anchors taken from each.
-BUCKET_BYTES, SAMPLE_DOCS, SAMPLE_EVERY = 32 << 20, 2000, 8
+BUCKET_BYTES, SAMPLE_DOCS, SAMPLE_EVERY = 16 << 20, 2000, 8
 LEAST_ID = -(1 << 63)
 
 _U = np.uint64
