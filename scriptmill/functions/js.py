@@ -233,8 +233,8 @@ def length(x) -> Column:
 def _units(x, start: Column, count: Column) -> Column:
     """A range of units; null if it cuts a pair."""
     raw = F.substring(F.encode(_c(x), "UTF-16BE"), start * 2 + 1, count * 2)
-    text = F.decode(raw, "UTF-16BE")
-    return text
+    cut = F.hex(F.substring(raw, F.lit(1), F.lit(2))).rlike("^D[C-F]") | F.hex(F.substring(raw, F.octet_length(raw) - 1, F.lit(2))).rlike("^D[89AB]")
+    return F.when(~cut, F.decode(raw, "UTF-16BE"))
 
 
 def char_at(x, i) -> Column:

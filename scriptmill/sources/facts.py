@@ -95,9 +95,11 @@ def scope_rows(program: Node, root: Scope) -> Iterator[tuple]:
 
 
 def _rows(source: str | None, f: Callable) -> Iterator[tuple]:
-    """No rows for what is no program."""
+    """No rows for null and for what is no program."""
+    if source is None:
+        return
     try:
-        program = parse(source or "")
+        program = parse(source)
         root = analyse(program)
     except (SyntaxFault, RecursionError, ValueError, OverflowError):
         return
