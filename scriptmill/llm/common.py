@@ -18,6 +18,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _own: dict[str, str] = {}
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called by a worker's function before it uses tables that outlive it; other owners' tables are released first."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    if release is not None:
+        _held[owner] = release
 
 
 def scratch_root(spark: SparkSession) -> str:
