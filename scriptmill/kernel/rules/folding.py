@@ -50,7 +50,7 @@ class ConstantFolding(Rule):
     def unary(self, x: Node) -> Node | None:
         op, inner = x.op, bare(x.value)
         if op == "!":
-            known = v.truthy(inner) if inner.kind != "Identifier" else None
+            known = v.truthy(inner)
             return None if known is None else boolean(not known)
         if op in ("-", "+"):
             n = 0.0 if inner.kind == "Array" and not inner.items else v.coerced(inner)

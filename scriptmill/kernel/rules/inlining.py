@@ -181,14 +181,13 @@ class UnusedVariable(Rule):
 
     @staticmethod
     def pure(x: Node | None) -> bool:
+        """Literals, arrays of them and unary operators on them; the name undefined isn't one."""
         if x is None:
             return True
         x = bare(x)
         if x.kind == "Array":
-            return all(i is None or i.kind != "Spread" and UnusedVariable.pure(i) for i in x.items)
-        if x.kind == "Unary":
-            return x.op != "delete" and UnusedVariable.pure(x.value)
-        return v.literal(x) is not v.NOTHING or x.kind in ("BigInt", "Regex")
+            return all(i is not None and i.kind != "Spread" and UnusedVariable.pure(i) for i in x.items)
+        return UnusedVariable.pure(x.value) if x.kind == "Unary" else v.is_literal(x)
 
     def unused(self, d: Node) -> bool:
         return d.target.kind == "Identifier" and d.target.symbol is not None and not d.target.symbol.refs and self.pure(d.init)

@@ -184,7 +184,7 @@ class ControlFlow(Rule):
         test = self.known(s.test)
         if test is not None:
             new = (s.then if test else s.other) or empty()
-            if new.kind == "Block" and len(new.body) == 1 and new.body[0].kind not in ("VariableDeclaration", "FunctionDeclaration", "ClassDeclaration"):
+            if new.kind == "Block" and len(new.body) == 1:
                 new = new.body[0]
             forget(s, new)
             return new

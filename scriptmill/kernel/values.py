@@ -61,7 +61,7 @@ def truthy(x: Node) -> bool | None:
         return x.value != ""
     if x.kind == "Boolean":
         return x.value
-    if x.kind == "Null" or x.kind == "Identifier" and x.name == "undefined" and x.symbol is None:
+    if x.kind == "Null":
         return False
     return True if x.kind in ("Array", "Object") else None
 

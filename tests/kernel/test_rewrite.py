@@ -41,6 +41,8 @@ MORE = [
     ("c ? true : false; x = c ? 'yes' : '';", "c;\nx = c;"),
     ("function f() { return g(); function g() { return 1; } var q = 2; h(); }", "function f() {\n    return g();\n    function g() {\n        return 1;\n    }\n}"),
     ("function o() { function unused() {} return 1; }", "function o() {\n    return 1;\n}"),
+    ("f(undefined && a, !undefined);", "f(undefined && a, !undefined);"),
+    ("var u = undefined; var h = [,]; var n = -[1]; if (1) { let q = 1; }", "var u = undefined;\nvar h = [,];"),
     # proxies with the wrong number of arguments lose them
     ("function p(a, b) { return a + b; } f(p(1));", "f(p());"),
     ("var w = window; f(w); g(w.x);", "f(w);\ng(x);"),
