@@ -376,6 +376,8 @@ class SwitchDispatch(Rule):
             if m is not None:
                 changed = self.resolve(m[2], m[0]) or changed
                 self.dispatchers.setdefault(f.name.symbol, {"entries": []})
+        if not self.dispatchers:
+            return changed
         for s in body:
             for n in walk(s) if s.kind in ("ExpressionStatement", "VariableDeclaration", "Return", "If", "Block") else ():
                 if n.kind == "Call" and n.callee.kind == "Identifier" and n.callee.symbol in self.dispatchers and n.arguments:

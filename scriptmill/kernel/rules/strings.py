@@ -96,9 +96,12 @@ class StringArrayDecoder(Rule):
         return changed
 
     def enter_expression(self, x: Node) -> Node | None:
-        if x.kind != "Call" or x.callee.kind != "Identifier" or x.callee.symbol not in self.decoders or len(x.arguments) not in (1, 2) or x.arguments[0].kind != "Number":
+        if x.kind != "Call" or len(x.arguments) not in (1, 2):
             return None
-        own, i = self.decoders[x.callee.symbol], x.arguments[0].value
+        callee, index = bare(x.callee), bare(x.arguments[0])
+        if callee.kind != "Identifier" or callee.symbol not in self.decoders or index.kind != "Number":
+            return None
+        own, i = self.decoders[callee.symbol], index.value
         if i != int(i) or not 0 <= i < len(own) or own[int(i)] is v.NOTHING:
             return None
         forget(x)
