@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import materialize, utf8_texts
+from scriptmill.llm.common import hold, materialize, utf8_texts
 
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's table of encoded chunks, and the longest chunk it keeps.
-TABLE_ENTRIES, TABLE_CHUNK = 450_000, 64
+TABLE_ENTRIES, TABLE_CHUNK = 600_000, 64
 #: Partner lengths tried with each length when patterns of three are enumerated.
 TRIPLES = 10
 FIT_STEPS = 150
@@ -118,6 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, end = TaskContext.get().partitionId(), Counter(), np.asarray([end_id], "<u4").tobytes()
+        hold("pattern_pack", _encoders.clear)
         gc.disable()  # nothing here is cyclic, and collections would walk the tables
         for b in batches:
             for lo in range(0, b.num_rows, 256):

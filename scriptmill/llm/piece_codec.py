@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import utf8_texts
+from scriptmill.llm.common import hold, utf8_texts
 
 MARK = "▁"
 #: Entries of a worker's table, and the longest chunk (bytes) that it keeps.
@@ -84,6 +84,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
+    hold("piece_codec", _codecs.clear)
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import materialize, utf8_texts
+from scriptmill.llm.common import hold, materialize, utf8_texts
 from scriptmill.llm.components import components
 
 RADIUS, SHINGLE, SEED, BITS = 4, 4, 42, 64
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash")
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in utf8_texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
