@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,16 +37,27 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         _own[app] = "file://" + tempfile.mkdtemp(prefix="scriptmill-")
     return _own[app]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in this application's part of the shared folder."""
+    return f"{scratch_root(spark)}/scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete this application's scratch tables. Results that weren't written anywhere yet read them: call it last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/scratch-{spark.sparkContext.applicationId}")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/scratch/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,16 +67,6 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """The words of UTF-8 bytes: bytes.split() splits at exactly the six separators."""
-    return text.split()
-
-
-def lower_ascii(text: bytes) -> bytes:
-    """A-Z to a-z; bytes.lower() leaves all others alone."""
-    return text.lower()
-
-
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; nulls are empty."""
     column = column.fill_null("") if column.null_count else column
@@ -82,11 +84,3 @@ def utf8_texts(column: pa.Array) -> Iterator[bytes]:
     view = body.tobytes()
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         yield view[a:b]
-
-
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)

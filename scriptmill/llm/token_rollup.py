@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import materialize, scratch_root
+from scriptmill.llm.common import materialize, scratch_path
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -86,7 +86,7 @@ def history(docs: DataFrame, path: str | None = None) -> Rollup:
     ones put in again, so no group of copies meets in one task. Each batch is sent twice.
     """
     spark = docs.sparkSession
-    rollup = Rollup(spark, path or f"{scratch_root(spark)}/scratch/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, path or scratch_path(spark))
     rows = materialize(counted(docs))
     first, second = VERSIONS
     least = F.min(F.struct("doc_id", "source", "lang", "v0", "v1")).alias("r")
