@@ -14,7 +14,9 @@ anchor at A lie in its context, the bytes from A - REACH to A + LENGTH.
    have to be compared across such a boundary is asked for.
 3. Contexts asked for (the ends of passages, mostly) are cut from their texts, range-partitioned by the same
    splitters and sorted again; within a K-gram, windows are compared one offset at a time, and those that have
-   an earlier equal are covered. All of these windows hold the anchor, so their union is one run.
+   an earlier equal are covered. All of these windows hold the anchor, so their union is one run. Contexts of a
+   frequent lead go to several buckets instead, one for each class of neighbouring offsets, by a hash of the
+   93 bytes that the class's windows share: equal windows still meet, and a common line doesn't fill a bucket.
 
 Texts are joined to their messages twice; messages are a few bytes for each anchor that repeats.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import materialize, utf8_view
+from scriptmill.llm.common import hold, materialize, utf8_view
 
 LENGTH, K = 100, 32
 REACH = LENGTH - K
@@ -231,6 +233,7 @@ def _send(ids: np.ndarray, again: np.ndarray, body: np.ndarray, at: np.ndarray,
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with CHUNK_BYTES of text, or one longer row."""
+    hold("suffix_dedup", _powers.clear)
     for b in batches:
         body, at = utf8_view(b.column(b.schema.get_field_index("text")))
         i = 0
@@ -282,6 +285,17 @@ def _sort_bucket(splitters: np.ndarray):
     return run
 
 
+#: Offsets of one class, where a frequent lead's contexts are dealt out by what their windows share; and the mark of all.
+CLASS_OFFSETS, ALL = 8, 255
+
+
+def _hash_columns(context: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    h = np.zeros(len(context), np.uint64)
+    for j in range(lo, hi):
+        h = h * _STEP + _BYTES[context[:, j]]
+    return h
+
+
 # -- contexts that are asked for -------------------------------------------------------------------------------------
 
 
@@ -302,22 +316,31 @@ def _cut(splitters: np.ndarray):
                 column = np.arange(width)
                 context[(column < REACH - left[:, None]) | (column >= REACH + right[:, None])] = 0
                 t = np.ascontiguousarray(context[:, REACH : REACH + K]).view(">u8").astype(np.uint64).T
-                p = bucket_of(t, mix(t[2] ^ mix(t[3])), splitters)
-                for bucket in np.unique(p):
-                    m = p == bucket
-                    blob = _pack([context[m].reshape(-1), left[m].astype("<u1"), right[m].astype("<u1"), b.column(0).to_numpy()[k[m]].astype("<i8"), b.column(1).to_numpy()[k[m]].astype("<i4"), a[m].astype("<u4")])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int32()), pa.array([blob], pa.binary())], ["p", "blob"])
+                hot = is_hot(t, splitters)
+                places = [(np.flatnonzero(~hot), bucket_of(t[:, ~hot], mix(t[2] ^ mix(t[3]))[~hot], splitters), ALL)]
+                for first in range(0, REACH + 1, CLASS_OFFSETS) if hot.any() else ():
+                    last = min(first + CLASS_OFFSETS - 1, REACH)
+                    rows = np.flatnonzero(hot & (left >= first) & (right >= LENGTH - last))
+                    # What all windows of the class share; windows that are equal agree on it.
+                    shared = _hash_columns(context[rows], REACH - first, REACH + LENGTH - last)
+                    places.append((rows, (mix(shared ^ _U(first)) % _U(len(splitters) + 1)).astype(np.int64), first))
+                for rows, p, first in places:
+                    for bucket in np.unique(p):
+                        m = rows[p == bucket]
+                        blob = _pack([context[m].reshape(-1), left[m].astype("<u1"), right[m].astype("<u1"), b.column(0).to_numpy()[k[m]].astype("<i8"), b.column(1).to_numpy()[k[m]].astype("<i4"), a[m].astype("<u4"), np.full(len(m), first, "<u1")])
+                        yield pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int32()), pa.array([blob], pa.binary())], ["p", "blob"])
 
     return run
 
 
-_CONTEXT_KINDS = ["<u1", "<u1", "<u1", "<i8", "<i4", "<u4"]
+_CONTEXT_KINDS = ["<u1", "<u1", "<u1", "<i8", "<i4", "<u4", "<u1"]
 
 
-def repeated_windows(context: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(context: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest offset before the anchor of windows with an earlier equal; -1 if there are none.
 
-    Rows are in the corpus' order within a group; only rows of a group are compared.
+    Rows are in the corpus' order within a group; only rows of a group are compared, at all offsets or those of
+    the class that begins with ``first``.
     """
     n = len(group)
     least, most = np.full(n, -1), np.full(n, -1)
@@ -330,7 +353,7 @@ def repeated_windows(context: np.ndarray, left: np.ndarray, right: np.ndarray, g
     for o in range(REACH + 1):
         if o:
             h = (h - values(REACH + LENGTH - o)) * down[1] + values(REACH - o) * up[LENGTH - 1]
-        rows = np.flatnonzero((left >= o) & (right >= LENGTH - o))
+        rows = np.flatnonzero((left >= o) & (right >= LENGTH - o) & ((first == ALL) | (first == o - o % CLASS_OFFSETS)))
         x = mix(h[rows]) ^ salt[rows]
         order = np.argsort(x, kind="stable")
         again = rows[order[1:][x[order[1:]] == x[order[:-1]]]]
@@ -343,15 +366,15 @@ def _compare(table: pa.Table) -> pa.Table:
     parts = []
     for blob in table.column("blob").to_pylist():
         parts.append(_unpack(blob, _CONTEXT_KINDS))
-    flat, left, right, ids, again, place = (np.concatenate(c) for c in zip(*parts))
+    flat, left, right, ids, again, place, first = (np.concatenate(c) for c in zip(*parts))
     context = flat.reshape(-1, REACH + LENGTH)
     gram = np.ascontiguousarray(context[:, REACH : REACH + K]).view(">u8").astype(np.uint64)
-    order = multikey_order([*gram.T, ids, again, place])
-    g = gram[order]
+    order = multikey_order([*gram.T, first, ids, again, place])
+    g = np.concatenate([gram, first[:, None].astype(np.uint64)], axis=1)[order]
     group = np.cumsum(np.concatenate([[True], (g[1:] != g[:-1]).any(1)])) - 1
     use = np.bincount(group)[group] > 1
     order, group = order[use], group[use]
-    least, most = repeated_windows(context[order], left[order], right[order], group)
+    least, most = repeated_windows(context[order], left[order], right[order], group, first[order])
     hit = most >= 0
     rows = order[hit]
     lo = place[rows].astype(np.int64) - most[hit]

@@ -78,8 +78,33 @@ def test_hot_leads_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(sd, "BUCKET_BYTES", 3000)
     rng = np.random.default_rng(4)
     line = "a very common line that is shorter than a hundred bytes but holds a K-gram. "
-    rows = [(i, line + "".join(rng.choice(list("abcdefgh"), 30)) + line * (i % 3)) for i in range(150)]
+    rows = [(i, line + "".join(rng.choice(list("abcdefgh"), 30)) + line * (i % 3) + ("A longer end that some of them have. " + line) * (i % 5 == 0)) for i in range(150)]
     assert run(spark, rows) == expected(rows)
+    # Executors have the function by name; here it is asked directly whether leads are that frequent.
+    splitters = np.sort(sd._leads(np.repeat(sd.tokens(np.frombuffer(line.encode(), np.uint8), np.arange(3), 2), 4, axis=1)))
+    t = sd.tokens(np.frombuffer(line.encode(), np.uint8), np.arange(3), 2)
+    assert sd.is_hot(t, splitters).all() and len(set(sd.bucket_of(np.repeat(t, 50, axis=1), sd.mix(np.arange(150, dtype=np.uint64)), splitters).tolist())) > 6
+
+
+def test_classes_of_offsets_find_what_all_offsets_find():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(97, 100, (6, sd.REACH + sd.LENGTH)).astype(np.uint8)
+    context = pool[rng.integers(0, 6, 200)].copy()
+    cut = rng.integers(0, 40, 200)
+    for i, c in enumerate(cut):
+        context[i, :c] = rng.integers(97, 123, c)
+        context[i, sd.REACH + sd.LENGTH - c // 2 :] = rng.integers(97, 123, len(context[i]) - (sd.REACH + sd.LENGTH - c // 2))
+    full = np.full(200, sd.LENGTH), np.full(200, sd.REACH)
+    group = np.zeros(200, int)
+    least, most = sd.repeated_windows(context, full[1], full[0], group, np.full(200, sd.ALL))
+    found = [(np.full(200, 999), np.full(200, -1))]
+    for first in range(0, sd.REACH + 1, sd.CLASS_OFFSETS):
+        shared = sd._hash_columns(context, sd.REACH - first, sd.REACH + sd.LENGTH - min(first + sd.CLASS_OFFSETS - 1, sd.REACH))
+        own = np.unique(shared, return_inverse=True)[1]
+        a, b = sd.repeated_windows(context, full[1], full[0], own, np.full(200, first))
+        found.append((np.where(b < 0, 999, a), b))
+    assert (np.min([f[0] for f in found], axis=0) == np.where(most < 0, 999, least)).all()
+    assert (np.max([f[1] for f in found], axis=0) == most).all()
 
 
 def test_multikey_order():
