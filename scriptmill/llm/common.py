@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -30,6 +31,21 @@ def hold(owner: str, release: Callable[[], None] | None = None) -> None:
         _held[owner] = release
 
 
+def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function without collections of cycles, which would walk its tables; they are on again after it."""
+
+    def held(batches: Iterator) -> Iterator:
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if on:
+                gc.enable()
+
+    return held
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of this session's own only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

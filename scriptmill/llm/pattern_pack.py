@@ -13,7 +13,6 @@ packed each for itself; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import hold, materialize, utf8_texts
+from scriptmill.llm.common import hold, materialize, uncollected, utf8_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -116,10 +115,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """One row per piece, with the task that made it and its rank among that task's pieces of its length."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 
+    @uncollected  # nothing here is cyclic
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, end = TaskContext.get().partitionId(), Counter(), np.asarray([end_id], "<u4").tobytes()
         hold("pattern_pack", _encoders.clear)
-        gc.disable()  # nothing here is cyclic, and collections would walk the tables
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
