@@ -134,3 +134,59 @@ def test_removed_texts(spark):
         want = None if t is None else np.frombuffer(t.encode(), np.uint8)[~mask].tobytes().decode("utf-8", "ignore")
         assert got[d] == want
     assert sd.digests(docs.limit(0)).count() == 0
+
+
+def test_more_buckets_than_sampled_leads(spark, monkeypatch):
+    """Buckets are dealt out again and again; a task's blobs and splitters are at most FAN at a time."""
+    rows = sorted(corpus(11, 120))
+    want = expected(rows)
+    for name, value in (("FAN", 4), ("BUCKET_BYTES", 320), ("SAMPLE_DOCS", 3), ("CHUNK_BYTES", 4000)):
+        monkeypatch.setattr(sd, name, value)
+    assert run(spark, rows) == want
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = docs.selectExpr("coalesce(doc_id, -1) as id", "0L as again", "text")
+    n_bytes = sum(len((t or "").encode()) for _, t in rows)
+    blobs = sd.dealt(texts, n_bytes).where("p >= 0")
+    sizes = [r.n for r in blobs.groupBy("p").sum("n").toDF("p", "n").collect()]
+    assert len(sizes) > 30 > 3 * 3  # far more than the first step's FAN, and than the documents sampled
+    assert max(sizes) < 0.2 * sum(sizes)
+    assert blobs.selectExpr("max(p) as m").head().m >= 4**3
+
+
+def test_blobs_of_a_chunk_are_bounded():
+    rng = np.random.default_rng(2)
+    body = rng.integers(97, 123, 200_000).astype(np.uint8)
+    at = np.arange(0, 200_001, 1000)
+    place, _, _ = sd.anchors(body, at)
+    splitters = np.sort(sd._leads(sd.tokens(body, place, 2)))[:: len(place) // 100]
+    ids = np.arange(200)
+    batch = sd._send(ids, ids * 0, body, at, splitters)
+    assert batch.num_rows <= len(splitters) + 2 and sum(batch.column(1).to_pylist()) == len(place)
+    own = [sd._unpack(b, sd._KINDS) for p, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) if p >= 0]
+    again = sd._deal(sd._joined([b for p, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()) if p >= 0]), splitters[::10], 70)
+    assert set(again.column(0).to_pylist()) <= {-1, *range(70, 70 + 12)} and sum(again.column(1).to_pylist()) == sum(len(c[0]) for c in own)
+
+
+def test_frequent_ids_are_numbered_without_a_window(spark):
+    rows = [(None, f"t{i % 7}" * 60) for i in range(60)] + [(5, "x" * 120)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    own = sd._numbered(docs)
+    got = own.collect()
+    assert len({(r.id, r.again) for r in got}) == len(rows)
+    texts = [r.row.text for r in sorted(got, key=lambda r: (r.id, r.again)) if r.id == sd.LEAST_ID]
+    assert len({t for t, u in zip(texts, texts[1:]) if t == u}) == 7 and sum(t != u for t, u in zip(texts, texts[1:])) == 6
+    assert "Window" not in docs.transform(sd.digests)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_columns_of_any_name(spark):
+    names = ["__id", "__again", "__covered", "id", "again", "row", "p", "covered", "lo", "hi", "h", "salt", "blob"]
+    rows = sorted(corpus(6, 20))
+    docs = spark.createDataFrame([(d, t, *range(len(names))) for d, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = sd.removed(docs)
+    assert out.schema == docs.schema
+    got = {r.doc_id: tuple(r) for r in out.collect()}
+    for (d, t), mask in zip(rows, brute(rows)):
+        text = None if t is None else np.frombuffer(t.encode(), np.uint8)[~mask].tobytes().decode("utf-8", "ignore")
+        assert got[d] == (d, text, *range(len(names)))
+    assert sd.digests(docs).count() == len(rows)
+    assert sd.removed(docs.limit(0)).count() == 0
