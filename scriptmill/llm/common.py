@@ -78,6 +78,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more rows than this, and more than one row in HOT_SHARE, are joined apart.
+HOT_ROWS, HOT_SHARE = 1000, 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys of many rows: fewer than HOT_SHARE, whatever the table's size."""
+    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    return [r[0] for r in counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(key).collect()]
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+    """A left join with a table whose key is unique. Rows of hot keys stay where they are, and their partners come to them."""
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, "left")
+    named = F.when(F.col(key).isNull(), F.lit(None in hot)).otherwise(F.col(key).isin([k for k in hot if k is not None]))
+    near = left.where(named).join(F.broadcast(right.where(named)), key, "left")
+    return near.unionByName(left.where(~named).join(right.where(~named), key, "left"))
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

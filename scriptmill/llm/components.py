@@ -2,7 +2,8 @@
 
 Each round every node takes the least label among its neighbours' (hooking), then its label's label
 (shortcut), so paths shrink by halves and chains of length n take about log n rounds. A hub's messages
-are combined by min on the map side. Each round's labels are a table in the shared folder.
+are combined by min on the map side; the rows of a hub and of a large component's label don't meet in one task
+(join_unique). Each round's labels are a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import materialize
+from scriptmill.llm.common import hot_keys, join_unique, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,18 +21,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").where("a is not null and b is not null")
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hot_keys(both, "b")
     # label: the least of a node's neighbours and itself
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))
     while True:
         # What b's label says to a; and to the node that a's label names (hooking of roots).
-        heard = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("m"))
+        heard = join_unique(both, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("m"))
         best = labels.join(heard, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
         hook = best.where("label < old").groupBy(F.col("old").alias("node")).agg(F.min("label").alias("h"))
         hooked = best.join(hook, "node", "left").select("node", F.least("label", F.coalesce("h", "label")).alias("label"), "old")
         # A root is a node, so every label has a label.
         hooked = materialize(hooked)
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = hooked.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
+        new = join_unique(hooked, up, "label").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
         new = materialize(new)
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")

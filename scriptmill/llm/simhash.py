@@ -9,7 +9,8 @@ Within a key the bits are stored vertically: a plane for each bit position holds
 in each word. A probe is compared to a whole block at once (the pairs of many small keys share a block): planes that
 differ are added to carry-save counters, and a block is left as soon as all of its counters exceed the radius. Keys with more rows than a
 block are cut into blocks, and each pair of blocks is a task of its own, so that a hot key spreads out.
-A task emits a spanning forest of the links it finds, not the links.
+A task emits a spanning forest of the links it finds, not the links. ``free`` follows from the number of
+distinct fingerprints, so that a key of unrelated ones has few rows at any size.
 
 Edge cases: a null or blank text has fingerprint zero, linked like any other; texts of fewer words than a
 shingle have one shingle; rows that repeat a doc_id each get a row; null doc_ids keep a fingerprint and get
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import hold, materialize, utf8_texts
+from scriptmill.llm.common import hold, join_unique, materialize, utf8_texts
 from scriptmill.llm.components import components
 
 RADIUS, SHINGLE, SEED, BITS = 4, 4, 42, 64
-#: Blocks beyond the radius that must agree: more of them, longer keys and more tables.
-FREE_BLOCKS = 2
+#: Blocks beyond the radius that must agree: more of them, longer keys and more tables. Unrelated rows of a key.
+FREE_BLOCKS, UNRELATED = (2, 3, 4), 16
 BLOCK_ROWS = 4096
 #: Groups of so few rows put their pairs into shared blocks.
 SMALL_GROUP = 16
@@ -131,29 +132,34 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple
     other = own if right is None else right
     shift = 0 if right is None else len(left)
     vertical = planes(other)
-    parent = list(range(len(own)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(len(own))
+    apart = len(own)
     found = []
     for i, p in enumerate(left.astype(np.uint64).tolist()):
+        if apart == 1:  # nothing is left to join
+            break
         at = i // 64 if right is None else 0  # rows before have been probed
         mask = near(p, vertical[:, at:], radius)
         if not mask.any():
             continue
         hits = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")) + 64 * at
-        for j in hits[hits < len(other)].tolist():
-            a, b = root(i), root(j + shift)
-            if a != b:
-                parent[a] = b
-                found.append((i, j + shift))
+        hits = hits[hits < len(other)] + shift
+        hits = hits[label[hits] != label[i]]
+        if not len(hits):
+            continue
+        others, first = np.unique(label[hits], return_index=True)
+        found += [(i, j) for j in hits[first].tolist()]
+        label[np.isin(label, others)] = label[i]
+        apart -= len(others)
     return found
 
 
+def free_blocks(distinct: int, radius: int = RADIUS) -> int:
+    """The least choice of FREE_BLOCKS whose keys hold few unrelated fingerprints."""
+    fits = [f for f in FREE_BLOCKS if distinct <= UNRELATED << (BITS * f // (radius + f))]
+    return fits[0] if fits else FREE_BLOCKS[-1]
+
+
 def tables(radius: int, free: int) -> list[int]:
     """Masks of the bits in each choice of ``free`` of radius + free blocks."""
     edges = np.linspace(0, BITS, radius + free + 1).round().astype(int)
@@ -165,7 +171,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def linked(distinct: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def linked(distinct: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS[0], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` as all links within the radius do."""
     if not 0 <= radius <= 7:
         raise ValueError("the counters hold radii up to 7")
@@ -225,17 +231,17 @@ def linked(distinct: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS, b
     return rows.repartition("t", "k", "x", "y").sortWithinPartitions("t", "k", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, free: int | None = None, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable)."""
     own = materialize(fingerprints(docs, shingle))
     classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = linked(classes.select("fp"), radius, free, block_rows)
-    # The component of fingerprints, then the least doc_id in it.
-    groups = components(edges).select(F.col("node").alias("fp"), F.col("component"))
-    joined = classes.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = joined.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    edges = linked(classes.select("fp"), radius, free or free_blocks(classes.count(), radius), block_rows)
+    # The component of fingerprints, then the least doc_id in it; fingerprints without links are their own.
+    groups = materialize(components(edges).join(classes.select(F.col("fp").alias("node"), "first"), "node"))
+    least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    in_groups = join_unique(groups, least, "component").select(F.col("node").alias("fp"), F.col("component_id").alias("least"))
+    by_fp = classes.join(in_groups, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return join_unique(own, materialize(by_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -97,3 +97,54 @@ def test_documents(spark):
     for r in got:
         assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id])
     assert sh.digest(docs.limit(0)).count() == 0
+
+
+def test_a_dense_cluster_takes_no_square():
+    import time
+
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(0, 2**63))
+    fps = np.array(sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a in range(64) for b in range(64)}), np.uint64)
+    seconds = []
+    for m in (500, 2000):
+        began = time.perf_counter()
+        found = sh.links(fps[:m], None, 4)
+        seconds.append(time.perf_counter() - began)
+        assert len(found) == m - 1
+    assert seconds[1] < 0.5
+    mixed = np.concatenate([fps[:1000], rng.integers(0, 2**63, 1000, dtype=np.uint64)])
+    began = time.perf_counter()
+    assert len(sh.links(mixed, None, 4)) == 999 and time.perf_counter() - began < 2
+
+
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert [sh.free_blocks(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [2, 2, 3, 4, 4]
+    for free in sh.FREE_BLOCKS:
+        masks = sh.tables(4, free)
+        rng = np.random.default_rng(free)
+        for _ in range(50):  # any four bits leave some table's key alone
+            flip = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(not flip & m for m in masks)
+
+
+@pytest.mark.parametrize("free", [3, 4])
+def test_longer_keys_find_the_same(spark, free):
+    fps = list(dict.fromkeys(clustered(200, free)))
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = {r.node: r.component for r in components(sh.linked(df, free=free)).collect()}
+    assert [got.get(f, f) for f in signed] == brute_components(signed, fps)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from scriptmill.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(i, i) for i in range(60)] + [(None, 7)] * 20, "k long, x long")
+    right = spark.createDataFrame([(i, 10 * i) for i in range(0, 60, 2)] + [(1, 10)], "k long, y long")
+    assert set(common.hot_keys(left, "k")) == {1, None}
+    got = sorted((tuple(r) for r in common.join_unique(left, right, "k").select("k", "x", "y").collect()), key=repr)
+    assert got == sorted((tuple(r) for r in left.join(right, "k", "left").select("k", "x", "y").collect()), key=repr)
+    edges = [(0, i) for i in range(1, 80)] + [(i, i + 1) for i in range(100, 140)]
+    labels = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert labels == {i: 0 for i in range(80)} | {i: 100 for i in range(100, 141)}
