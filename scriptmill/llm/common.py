@@ -84,9 +84,8 @@ HOT_ROWS, HOT_SHARE = 1000, 1000
 
 def hot_keys(rows: DataFrame, key: str) -> list:
     """The keys of many rows: fewer than HOT_SHARE, whatever the table's size."""
-    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    return [r[0] for r in counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(key).collect()]
+    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key).collect()]
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:

@@ -8,9 +8,10 @@ one ordered CASE expression; what no rule covers is kept.
 The learner sees at most ``SAMPLE_ROWS`` labelled rows (those with the least hashes of their ids, so that
 every size is treated alike); everything else runs on all rows. Only the sample's statistics reach the driver.
 
-Edge cases: a null or empty text has all statistics 0 and fails the base rules; documents with contradictory
-labels aren't learned from; without labels of both kinds the list is empty; rows that repeat a doc_id are
-judged each for itself; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null or empty text has all statistics 0 and fails the base rules; a null doc_id is judged like any
+other and never learned from; documents with contradictory labels aren't learned from; without labels of both
+kinds the list is empty; rows that repeat a doc_id are judged each for itself; an empty table gives an empty
+result; other columns are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import SPACE_CLASS, SPACES
+from scriptmill.llm.common import LOWER, SPACE_CLASS, SPACES, UPPER
 
 SAMPLE_ROWS = 20_000
 #: Quantiles tried as thresholds: even steps and both tails.
@@ -59,28 +60,34 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("__row")] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, f"{SPACE_CLASS}+", -1), "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    one = docs.select(
-        *row,
-        F.col("doc_id").cast("long").alias("doc_id"),
-        words.alias("words"),
-        lines.alias("lines"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        _count(text, SYMBOLS).alias("n_symbols"),
-        _count(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        _count(text, "0123456789").alias("n_digits"),
-        _count(text, "!?").alias("n_bangs"),
-        _count(text, "|").alias("n_pipes"),
-        _count(text, ".").alias("n_stops"),
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.ltrim(x, F.lit(SPACES))) > 0)
+    # One pass leaves the few characters that are counted; the counts read those only.
+    few = docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"), lines.alias("lines"), F.length(text).alias("chars"), F.translate(text, LOWER, "").alias("few"))
+    few = few.select("*", F.length("few").alias("n_few"), F.translate("few", SPACES, "").alias("marks"))
+    one = few.select(
+        *["__row"] * carry,
+        "doc_id",
+        "words",
+        "lines",
+        (F.col("chars") - F.col("n_few") + F.length("marks")).cast("long").alias("word_chars"),
+        _count(F.col("marks"), SYMBOLS).alias("n_symbols"),
+        _count(F.col("marks"), UPPER).alias("n_upper"),
+        _count(F.col("marks"), "0123456789").alias("n_digits"),
+        _count(F.col("marks"), "!?").alias("n_bangs"),
+        _count(F.col("marks"), "|").alias("n_pipes"),
+        _count(F.col("marks"), ".").alias("n_stops"),
+        # Windows' hashes. In most texts they are all different.
+        F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).alias("hashes"),
     )
     n = F.size("words")
-    # A window's hash with its place; equal hashes are neighbours once sorted.
-    window = lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i"))
-    two = one.select("*", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).alias("windows"))
+    # An expression that isn't deterministic: filters on the counts stay above it, and its arrays are computed once.
+    once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
+    # Else a hash with its place; equal hashes are neighbours once sorted.
+    placed = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    two = one.select("*", once(F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), placed)).alias("windows"))
     h = lambda j: F.get("windows", j)["h"]
     twice = F.filter("windows", lambda x, j: (x["h"] == h(j + 1)) | ((j > 0) & (x["h"] == h(F.greatest(j - 1, F.lit(0))))))
-    # An expression that isn't deterministic: filters on the counts stay above it, and its arrays are computed once.
-    three = two.select("*", F.when(F.monotonically_increasing_id() >= 0, twice).alias("twice"))
+    three = two.select("*", once(twice).alias("twice"))
     covered = F.array_distinct(F.flatten(F.transform("twice", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return three.select(
         *["__row"] * carry,
@@ -89,7 +96,7 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
         "word_chars",
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(n >= 3, F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(F.when(F.col("twice").isNotNull(), F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_upper",
         "n_digits",
         "n_bangs",

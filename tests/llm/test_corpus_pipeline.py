@@ -4,12 +4,13 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as cp  # noqa: E402
 from test_decision_list import brute as brute_statistics  # noqa: E402
-from test_simhash import brute_components, brute_fingerprint  # noqa: E402
+from test_near_text import brute as brute_near  # noqa: E402
 from test_suffix_dedup import brute as brute_removed  # noqa: E402
 
 from scriptmill.llm import decision_list as dl
@@ -40,9 +41,8 @@ def test_every_stage_equals_brute_force(spark):
     two = cp.materialize(cp.quality_classifier(spark, one, SF))
     assert two.schema == docs.schema and {r.doc_id: r for r in two.collect()} == kept
     # near-dedup
-    ids = sorted(kept)
-    first = brute_components(ids, [brute_fingerprint(kept[d].text) for d in ids])
-    kept = {d: kept[d] for d, c in zip(ids, first) if d == c}
+    first = brute_near([(d, kept[d].text) for d in sorted(kept)])  # five words, similarity 0.8
+    kept = {d: r for d, r in kept.items() if first[d] == d}
     three = cp.materialize(cp.near_dedup(spark, two, SF))
     assert three.schema == docs.schema and {r.doc_id: r for r in three.collect()} == kept
     # passage dedup
@@ -66,9 +66,26 @@ def test_every_stage_equals_brute_force(spark):
     assert max(ends.values()) <= 2048
 
 
-def test_null_ids_and_repeats_pass(spark):
-    docs = spark.createDataFrame([(None, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "c d", "en", "s", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b"), (1, "a b"), (1, "c d"), (1, "c d"), (2, None), (None, "e f"), (None, "e f"), (3, "g h"), (3, "g h")]
+    docs = spark.createDataFrame([(i, t, None, "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = cp.near_dedup(spark, docs, SF).collect()
-    assert sorted((str(r.doc_id), r.text) for r in out) == [("1", "a b"), ("1", "c d"), ("2", None), ("None", "a b")]
-    for _, stage in cp.STAGES:
-        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert sorted((str(r.doc_id), r.text) for r in out) == [("1", "a b"), ("1", "c d"), ("2", None), ("3", "g h"), ("None", "e f")]
+
+
+CLASHING = ["__id", "__q", "__row", "__again", "__covered", "id", "again", "row", "p", "same", "none", "fp", "node", "component", "component_id", "words", "hashes", "n_words", "few", "quality", "score", "first", "least", "covered", "piece", "length", "task", "rank"]
+
+
+@pytest.mark.parametrize(("name", "stage"), cp.STAGES)
+def test_stages_take_any_rows_and_columns(spark, name, stage):
+    """Clashing columns, null ids and texts, empty and long texts, repeats, and no rows."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").limit(60).drop("n_chars")
+    odd = spark.createDataFrame([(None, "word " * 90, "en", "s"), (None, None, None, None), (7, "", "en", "s"), (7, "", "en", "s"), (9000, "long " * 60_000, "en", "s"), (9001, "x" * 300_000, "en", "s")], own.schema)
+    docs = own.unionByName(odd).selectExpr("*", "length(text) as n_chars", *[f"{i} as {c}" for i, c in enumerate(CLASHING)])
+    out = cp.materialize(stage(spark, docs, SF))
+    if name != "packing":
+        assert out.schema == docs.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        assert all(r[c] == i for r in out.collect() for i, c in enumerate(CLASHING))
+    assert out.count() > 0
+    none = stage(spark, docs.limit(0), SF)
+    assert none.count() == 0 and none.columns == out.columns

@@ -68,3 +68,6 @@ def test_edges(spark):
     # A filter on a count doesn't drag the arrays into itself.
     plan = dl.statistics(docs).where("n_repeat_words > 3")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sort_array") == 1
+    clashing = docs.selectExpr("doc_id", "text", "1 as __row", "2 as words", "3 as hashes", "4 as few", "5 as n_words", "6 as windows", "7 as quality", "8 as _h")
+    kept = dl.keep(clashing, none)
+    assert kept.schema == clashing.schema and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in out if r.kept)
