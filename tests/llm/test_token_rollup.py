@@ -45,3 +45,63 @@ def test_history(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, digest int")
     assert totals(tr.history(docs)) == {("s", "en", "words-1"): (1, 2), ("s", "en", "parts-2"): (1, 2), ("s", None, "words-1"): (1, 0), ("s", None, "parts-2"): (1, 0), ("t", "de", "words-1"): (2, 2002), ("t", "de", "parts-2"): (2, 6002)}
     assert totals(tr.history(docs.limit(0))) == {}
+
+
+def test_history_equals_sql_with_null_ids(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(None, "a b", "s", "en"), (1, "a b", "t", "en"), (None, "c", "s", None), (None, "c", None, "de"), (2, None, "s", "en"), (3, "", "t", "en"), (3, "", "s", "en"), (4, "q!", "t", "de"), (4, "q!", "t", "de")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source", "lang"])
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = {r[:3]: r[3:] for r in duckdb.sql(tr.SQL).fetchall()}
+    rollup = tr.history(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3))
+    assert totals(rollup) == want
+    # The last batch takes back the copies alone.
+    last = spark.read.parquet(f"{rollup.path}/{rollup._read('batch-3-delete-copies')['data']}")
+    assert last.where("tokenizer_version = 'words-1'").selectExpr("sum(n_docs) as n").head().n == -5  # 1 + 1 + 2 + 1
+
+
+def test_compaction_keeps_totals_and_commits(spark, tmp_path):
+    r = tr.Rollup(spark, f"file://{tmp_path}/r")
+    rows = [spark.createDataFrame([("a", "en", "1", i, 1)], FIELDS) for i in range(4)]
+    assert not r.compact()
+    for i in range(3):
+        assert r.commit(f"b/{i}", rows[i])
+    before = totals(r)
+    assert r.compact() and totals(r) == before and not r.compact()
+    assert not r.commit("b/1", rows[3]) and r.commit("b/3", rows[3])
+    assert totals(r) == {("a", "en", "1"): (4, 6)} and r.compact() and totals(r) == {("a", "en", "1"): (4, 6)}
+    assert r.batches() == [f"b/{i}" for i in range(4)] and len(r._tables()[0]) == 1
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    a, b = (tr.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    one, two = (spark.createDataFrame([("a", "en", "1", n, 1)], FIELDS) for n in (5, 7))
+    monkeypatch.setattr(b, "committed", lambda batch_id: False)  # it looked before the first had finished
+    assert a.commit("x", one) and not b.commit("x", two)
+    assert totals(a) == totals(b) == {("a", "en", "1"): (1, 5)}
+    assert len(list((tmp_path / "r" / "data").iterdir())) == 1
+
+
+def test_public_tokenizers_as_versions(spark):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    versions = {"pieces": public_tokenizers.path("piece_bpe_32k.model"), "bytes": public_tokenizers.path("byte_bpe_50k.json")}
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = d.select("doc_id", "text", "source", "lang").unionByName(spark.createDataFrame([(None, None, "s", None), (None, "a  b<|endoftext|>", "s", None)], "doc_id long, text string, source string, lang string"))
+    pieces, own = sentencepiece.SentencePieceProcessor(model_file=versions["pieces"]), Tokenizer.from_file(versions["bytes"])
+    own.encode_special_tokens = True
+    want: Counter = Counter()
+    n: Counter = Counter()
+    seen = set()
+    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id)):
+        t = r.text or ""
+        if t not in seen:
+            seen.add(t)
+            for v, c in (("pieces", len(pieces.encode(t))), ("bytes", len(own.encode(t, add_special_tokens=False).ids))):
+                want[r.source, r.lang, v] += c
+                n[r.source, r.lang, v] += 1
+    assert totals(tr.history(docs, versions=versions)) == {k: (n[k], want[k]) for k in n}
