@@ -29,6 +29,7 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scriptmill.llm.common import hold, join_unique, materialize, scratch_path, utf8_texts
 
@@ -130,10 +131,7 @@ def tokenizer_counts(docs: DataFrame, paths: list[str]) -> DataFrame:
             counts = [pa.array(counter(p)(texts), pa.int64()) for p in paths]
             yield pa.RecordBatch.from_arrays([*b.columns, *counts], [*b.schema.names, *(f"v{i}" for i in range(len(paths)))])
 
-    schema = docs.schema
-    for i in range(len(paths)):
-        schema = schema.add(f"v{i}", "long")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(f"v{i}", LongType()) for i in range(len(paths)))]))
 
 
 _counters: dict = {}
