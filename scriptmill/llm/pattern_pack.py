@@ -7,8 +7,9 @@ and rounded down, and what is left is packed best-fit into the patterns' free sp
 The plan has one slot range for each (pattern, position); it says which ranks of a length go where, so
 that each executor places its own pieces from their ranks. No piece travels to the driver.
 
-Edge cases: a null or empty text is one piece that holds the end id alone; rows that repeat a doc_id are
-packed each for itself; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null or empty text is one piece that holds the end id alone; a text of any length is cut into as
+many pieces as it needs; rows of a null or repeated doc_id are packed each for itself; pieces of one length are
+dealt in the order of their tasks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\s]+")
 
+#: Texts that tell tokenizers apart: cases, blanks, digits, marks, endings, special tokens, other letters.
+PROBES = ["Aa bB  c\n\td", "it's 'S we'll I'd x've", "a1b 22 333 4-5", "x.y, z!? (a) [b] {c} a--b ...", "ÀÉ çß ÿ×÷ no\u0308 ﬁ ½", "<|endoftext|> <|x", "漢字 😀 ǅ Σ", "end", "", " ", "a\x0bb\x0cc\rd", "supercalifragilistic Expialidocious"]
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -51,6 +55,7 @@ class Encoder:
     This tokenizer drops white space and no merge crosses a word, so each distinct word is encoded once and
     its ids are joined by position. New words go to the library many at a time; a word's last id has the
     end-of-word mark. Texts with other letters than the plain ones have their chunks between blanks for words.
+    PROBES check once for each tokenizer that it is such a one; texts go to any other as a whole.
     """
 
     def __init__(self, path: str):
@@ -63,6 +68,9 @@ class Encoder:
             ends[i] = token.endswith("</w>")
         self.ends = ends
         self.words: dict[str | bytes, bytes] = {}
+        self.by_words = True
+        texts = [t.encode() for t in PROBES]
+        self.by_words = bool(ends.any()) and self.encode(texts) == [self.whole(t).tobytes() for t in PROBES]
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -89,6 +97,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_words:
+            return [self.whole(t.decode("utf-8", "replace")).tobytes() for t in texts]
         split = [self.split(t) for t in texts]
         ids = [list(map(self.words.get, w)) for w in split]
         holes = [list(compress(range(len(v)), map(not_, v))) if None in v else [] for v in ids]

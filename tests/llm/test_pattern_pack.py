@@ -62,3 +62,20 @@ def test_pack(spark):
         own = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in out if r.doc_id == i)
         assert own == [(k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
     assert pp.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_get_whole_texts():
+    assert pp.Encoder(PATH).by_words
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, library = pp.Encoder(path), Tokenizer.from_file(path)
+    assert not other.by_words
+    for x, ids in zip(ODD, other.encode([x.encode() for x in ODD])):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(x, add_special_tokens=False).ids, x
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, None), (1, "c " * 5000), (1, "c " * 5000)]
+    out = pp.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), PATH).collect()
+    assert sorted(((r.doc_id, r.piece, r.length) for r in out), key=repr) == sorted([(None, 0, 3), (None, 0, 3), (1, 0, 1), *[(1, k, n) for k, n in enumerate((2048, 2048, 905))] * 2], key=repr)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    assert len({p[:2] for p in places}) == len(out) and all(o + n <= 2048 for _, o, n in places)

@@ -48,3 +48,18 @@ def test_query_columns(spark):
     full = {r.doc_id: r for r in pc.encode(docs, PATH).collect()}
     assert all(full[i].ids == [*SP.encode(t or ""), 2] for i, t, _ in rows)
     assert pc.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_models_that_fail_the_check_get_whole_texts(monkeypatch):
+    c = pc.Codec(PATH)
+    assert c.exact
+    monkeypatch.setattr(pc.Codec, "chunks", staticmethod(lambda text: text.split(b"b")))  # as if it marked something else
+    other = pc.Codec(PATH)
+    assert not other.exact
+    assert other.encode([t.encode() for t in ODD]) == [(" ".join(map(str, SP.encode(t))).encode(), SP.decode(SP.encode(t)).encode()) for t in ODD]
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (3, "x"), (3, "x"), (3, "y")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_tokens) for r in pc.digests(docs, PATH).collect()), key=repr)
+    assert got == sorted([(d, len(SP.encode(t or "")) + 1) for d, t in ((None, "a b"), (None, None), (3, "x"), (3, "x"), (3, "y"))], key=repr)
