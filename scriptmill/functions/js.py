@@ -166,10 +166,18 @@ def parse_int(x, radix: int = 10) -> Column:
 
 
 def format_number(x) -> Column:
-    """Whole numbers without a fraction; others in their shortest form (without exponent from 1e-3 to 1e7)."""
+    """Plain decimal text: no exponent, no fraction on whole numbers; NaN, inf and -inf by name."""
     x = _c(x)
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(whole, F.when((x == 0) & (F.lit(1.0) / F.when(x == 0, F.lit(1.0)).otherwise(x) < 0), F.lit("-0")).otherwise(x.cast("long").cast("string"))).otherwise(x.cast("string"))
+    text = x.cast("string")
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"[-.]|\.0$", "")
+    digits = F.when(F.length(digits) > 1, F.regexp_replace(digits, "0+$", "")).otherwise(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    point = exponent + 1
+    large = F.when(F.length(digits) <= point, F.rpad(digits, point, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    plain = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.when(exponent < 0, small).otherwise(large))
+    named = F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf"))
+    return F.when(named.isNotNull(), named).when(F.contains(text, F.lit("E")), plain).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 # -- Math -------------------------------------------------------------------------------------------------------------
@@ -364,11 +372,13 @@ def lower_first_decode(x) -> Column:
 
 
 def rc4(data, key) -> Column:
-    """RC4 of binary with a text key (characters modulo 256); an empty key changes nothing. Arrow-batched."""
+    """RC4 of binary with a text key (characters modulo 256); an empty key changes nothing. Arrow-batched: a byte of all rows at a time."""
     @F.pandas_udf("binary")
     def run(d: pd.Series, k: pd.Series) -> pd.Series:
-        from scriptmill.kernel.values import rc4 as one
+        from scriptmill.kernel.values import rc4_of_many
 
-        return pd.Series([None if a is None or b is None else bytes(one(list(a), b)) for a, b in zip(d, k)])
+        there = [a is not None and b is not None for a, b in zip(d, k)]
+        out = iter(rc4_of_many([bytes(a) for a, t in zip(d, there) if t], [b for b, t in zip(k, there) if t]))
+        return pd.Series([next(out) if t else None for t in there], dtype=object)
 
     return run(_c(data), _c(key))

@@ -6,8 +6,8 @@ are gone. New nodes bring none until they are made of old ones.
 
 from __future__ import annotations
 
-from scriptmill.kernel.scope import Symbol, forget, references, rename
-from scriptmill.kernel.tree import Node, block, empty, expression_statement, void_zero
+from scriptmill.kernel.scope import Scope, Symbol, bound_names, forget, references, rename
+from scriptmill.kernel.tree import Node, block, empty, expression_statement, void_zero, walk
 
 
 def replace(owner: Node, field: str, new: Node) -> None:
@@ -59,6 +59,25 @@ def append_expression(body: list[Node], x: Node) -> None:
     body.append(expression_statement(x))
 
 
+def create_block_statement(body: list[Node], scope: Scope) -> Node:
+    """A block with a scope of its own below ``scope``; names that it declares by let, const, class or function go there."""
+    own = Scope(scope, "block")
+    for s in body:
+        names = [n for d in s.declarations for n in bound_names(d.target)] if s.kind == "VariableDeclaration" and s.word != "var" else [s.name] if s.kind in ("FunctionDeclaration", "ClassDeclaration") and s.name is not None else []
+        for n in names:
+            old = n.symbol
+            own.declare(n)
+            if old is not None:
+                for ref, how in list(old.refs.items()):
+                    if any(ref is x for b in body for x in walk(b)):
+                        del old.refs[ref]
+                        ref.symbol = n.symbol
+                        n.symbol.refs[ref] = how
+                if not old.refs and old.scope.symbols.get(old.name) is old:
+                    del old.scope.symbols[old.name]
+    return block(body)
+
+
 def replace_with_sequence(owner: Node, field: str, items: list[Node]) -> None:
     replace(owner, field, items[0] if len(items) == 1 else Node("Sequence", items=items))
 

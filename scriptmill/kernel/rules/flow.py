@@ -65,7 +65,7 @@ class ControlFlowFlattening(Rule):
         first = v.evaluate(head.init) if head is not None and head.init is not None and symbol is not None else None
         if not isinstance(first, float):
             return None
-        states: dict[float, int] = {}
+        states: dict[float, int | None] = {}  # None: the end
         waiting: list[float] = []
         for i, c in enumerate(switch.cases):
             n = v.evaluate(c.test) if c.test is not None else None
@@ -75,12 +75,18 @@ class ControlFlowFlattening(Rule):
                 for n in waiting:
                     states.setdefault(n, i)
                 waiting = []
+        for n in waiting:
+            states.setdefault(n, None)
         out: list[Node] = []
         seen: set[int] = set()
         now: float | None = first
         while now is not None:
-            i = states.get(now)
-            if i is None or i in seen:
+            if now not in states:
+                return None
+            i = states[now]
+            if i is None:
+                break
+            if i in seen:
                 return None
             seen.add(i)
             step = self.step(switch.cases[i].body, symbol)
@@ -96,7 +102,7 @@ class ControlFlowFlattening(Rule):
 
     @staticmethod
     def step(body: list[Node], symbol: Symbol) -> tuple[list[Node], float | None] | None:
-        """A case's own statements and the next state (None: the end)."""
+        """A case's own statements and the next state (None: the end); nothing if the case says neither."""
         body = [b for b in flat(body) if b.kind != "Empty"]
         out: list[Node] = []
         to: float | None = None
@@ -105,14 +111,14 @@ class ControlFlowFlattening(Rule):
             if n is not None:
                 to = n
             elif b.kind == "Continue" and b.label is None:
-                return None if to is None else (out, to)
+                break
             elif b.kind == "Break" and b.label is None:
                 return out, None
             else:
                 out.append(b)
                 if ends(b):
                     return out, None
-        return None
+        return (out, to) if out or to is not None else None
 
 
 def immediate(x: Node) -> Node | None:

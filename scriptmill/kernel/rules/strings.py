@@ -80,7 +80,7 @@ class StringArrayDecoder(Rule):
                 continue
             array = d.target.symbol
             for j, f in enumerate(body):
-                if f.kind != "FunctionDeclaration" or f.name is None or f.name.symbol is None or not f.params or not mentions(f, lambda n: n.kind == "Index" and n.object.kind == "Identifier" and n.object.symbol is array):
+                if f.kind != "FunctionDeclaration" or f.is_async or f.star or f.name is None or f.name.symbol is None or not f.params or not mentions(f, lambda n: n.kind == "Index" and n.object.kind == "Identifier" and n.object.symbol is array):
                     continue
                 if mentions(f, lambda n: n.kind == "Identifier" and n.name == "atob"):
                     alphabet = v.STANDARD

@@ -10,6 +10,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a table that may be broadcast.
+MOST_BROADCAST = 10_000
+
+
+def symbol_counts(symbols: DataFrame, key: str = "script_id") -> DataFrame:
+    """References and writes of each symbol as the parser has counted them: one pass over the scripts, no join."""
+    return symbols.select(key, "symbol_id", "scope_id", "name", F.col("n_references").cast("long").alias("refs"), F.col("n_writes").cast("long").alias("writes"))
+
+
+def array_readers(nodes: DataFrame, key: str = "script_id") -> DataFrame:
+    """Functions whose bodies index a variable that holds an array literal (semi-join): (key, node_id, name).
+
+    A node lies in a function if its number is between the function's own and that of the next node that is not below.
+    """
+    arrays = nodes.where("slot = 'init' and kind = 'Array'").select(key, "parent_id")
+    held = nodes.where("slot = 'target' and symbol_id is not null").join(arrays, [key, "parent_id"], "left_semi").select(key, "symbol_id")
+    indexed = nodes.where("kind = 'Index'").select(key, F.col("node_id").alias("parent_id"))
+    uses = nodes.where("slot = 'object' and symbol_id is not null").join(indexed, [key, "parent_id"], "left_semi").join(held, [key, "symbol_id"], "left_semi").select(key, F.col("node_id").alias("at"))
+    functions = nodes.where("kind = 'FunctionDeclaration'").select(key, "node_id", "last_id")
+    names = nodes.where("slot = 'name' and kind = 'Identifier'").select(key, F.col("parent_id").alias("node_id"), F.col("str_value").alias("name"))
+    inside = functions.join(uses, (functions[key] == uses[key]) & uses["at"].between(functions["node_id"], functions["last_id"]), "left_semi")
+    return inside.join(names, [key, "node_id"]).select(key, "node_id", "name")
+
+
+def gone_references(old: DataFrame, new: DataFrame, key: str = "script_id") -> DataFrame:
+    """Names (key, name) that a script's old form refers to and its new one doesn't (set difference)."""
+    return old.select(key, "name").subtract(new.select(key, "name"))
+
+
+def distinct_names(references: DataFrame, key: str = "script_id") -> DataFrame:
+    """How often each script refers to names, and to how many different ones (distinct)."""
+    each = references.groupBy(key, "name").agg(F.count("*").alias("n"))
+    return each.groupBy(key).agg(F.sum("n").alias("n_references"), F.count("*").alias("n_names"))
+
+
+def combined_rules(preset_rule: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rules of several presets one after another, with those that come twice: chosen (combination, turn, preset)."""
+    w = Window.partitionBy("combination").orderBy("turn", "position")
+    return chosen.join(preset_rule, "preset").withColumn("place", F.row_number().over(w)).select("combination", "place", "rule")
+
+
 def symbol_stats(symbols: DataFrame, references: DataFrame, key: str = "script_id") -> DataFrame:
     """References and writes of each symbol, counted by a join (those without any are 0)."""
     counts = references.where("symbol_id is not null").groupBy(key, "symbol_id").agg(F.count("*").alias("refs"), F.count_if("is_write").alias("writes"))
@@ -89,9 +130,11 @@ def decode_calls(calls: DataFrame, arrays: DataFrame) -> DataFrame:
 
 
 def match_identities(tables: DataFrame, candidates: DataFrame) -> DataFrame:
-    """tables (expression_id, point, value), candidates (form, rank, nodes, point, value), of fixed size: the first form that
-    agrees at every point."""
-    both = tables.join(F.broadcast(candidates.withColumnRenamed("value", "wanted")), "point")
+    """tables (expression_id, point, value), candidates (form, rank, nodes, point, value): the first form that agrees at
+    every point. Candidates are a small fixed set and broadcast if they are; others are shuffled."""
+    wanted = candidates.withColumnRenamed("value", "wanted")
+    small = candidates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    both = tables.join(F.broadcast(wanted) if small else wanted, "point")
     whole = both.groupBy("expression_id", "form", "rank", "nodes").agg(F.bool_and(F.col("value") == F.col("wanted")).alias("same")).where("same")
     return whole.groupBy("expression_id").agg(F.min_by("form", "rank").alias("form"), F.min_by("nodes", "rank").alias("nodes"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptmill.functions import js
 from scriptmill.operators.rewrite import rewrite_scripts, statistics
 from scriptmill.plans import analysis
+from scriptmill.plans.cases import CASES
 from scriptmill.sources import facts, scripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,14 +54,14 @@ def script_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select page_id as script_id, 't' as name, 0::bigint as refs, 0::bigint as writes from pages""")
 def symbol_stats(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pages(spark, sf)
-    return analysis.symbol_stats(facts.symbols(p), facts.references(p)).select("script_id", "name", "refs", "writes")
+    """Symbols with their counts, from one pass over the scripts."""
+    return analysis.symbol_counts(facts.symbols(_pages(spark, sf))).select("script_id", "name", "refs", "writes")
 
 
 @query("select page_id as script_id, 't' as name from pages")
 def unused_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pages(spark, sf)
-    return analysis.unused_symbols(facts.symbols(p), facts.references(p)).select("script_id", "name")
+    """Symbols that nothing refers to, from one pass over the scripts."""
+    return analysis.symbol_counts(facts.symbols(_pages(spark, sf))).where("refs = 0").select("script_id", "name")
 
 
 @query("""select kind, (k * count(*))::bigint as n from pages, (values ('Program', 1), ('VariableDeclaration', 1), ('Declarator', 1), ('Identifier', 2), ('String', 1), ('ExpressionStatement', 1), ('Call', 1), ('Number', 1)) v(kind, k) group by kind, k""")
@@ -173,6 +174,107 @@ def js_from_char_code(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "nation").select("n_name", js.from_char_code(codes).alias("made"))
 
 
+@query("""select p_partkey, to_base64(encode(p_name)) as encoded, null::varchar as none from part""")
+def js_btoa(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "part").select("p_partkey", js.btoa("p_name").alias("encoded"), js.btoa(F.lit("\u20ac")).alias("none"))
+
+
+@query("""select c_custkey, case when c_acctbal > 0 then round(ln(greatest(c_acctbal, 1e-9)), 6) end as e, case when c_acctbal > 0 then round(log2(greatest(c_acctbal, 1e-9)), 6) end as two, case when c_acctbal > 0 then round(log10(greatest(c_acctbal, 1e-9)), 6) end as ten from customer""")
+def js_logs(spark: SparkSession, sf: str) -> DataFrame:
+    x = "c_acctbal"
+    return _t(spark, sf, "customer").select("c_custkey", F.round(js.log(x), 6).alias("e"), F.round(js.log2(x), 6).alias("two"), F.round(js.log10(x), 6).alias("ten"))
+
+
+@query("""select l_orderkey, l_linenumber, l_quantity < l_linenumber * 8.0 as less, l_quantity > l_linenumber * 8.0 as more, l_quantity <= l_linenumber * 8.0 as at_most, l_quantity >= l_linenumber * 8.0 as at_least,
+l_quantity = l_linenumber * 8.0 as loose, l_quantity <> l_linenumber * 8.0 as loosely_not, l_quantity = l_linenumber * 8.0 as strict, l_quantity <> l_linenumber * 8.0 as strictly_not from lineitem""")
+def js_comparisons(spark: SparkSession, sf: str) -> DataFrame:
+    """All eight comparisons; numbers are equal strictly where they are loosely."""
+    a, b = "l_quantity", F.col("l_linenumber") * 8.0
+    same = js.equal(a, b)
+    return _t(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", js.less(a, b).alias("less"), js.less(b, a).alias("more"), (~js.less(b, a)).alias("at_most"), (~js.less(a, b)).alias("at_least"),
+        same.alias("loose"), (~same).alias("loosely_not"), same.alias("strict"), (~same).alias("strictly_not"),
+    )
+
+
+@query("""select o_orderkey, (o_orderkey::hugeint * 1234567891)::varchar as whole, case when o_orderkey % 1000 = 0 then '0' else rtrim(printf('%.16f', (o_orderkey % 1000)::double / 65536.0), '0') end as small,
+case when o_orderkey % 2 = 0 then '-' || (o_orderkey * 100000)::varchar else '-' || (o_orderkey * 100000)::varchar || '.5' end as half from orders""")
+def js_format_number(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers that print with an exponent elsewhere: large, small (dyadic, so that their digits end) and negative ones."""
+    k = F.col("o_orderkey")
+    whole, small = k.cast("double") * 1234567891.0, (k % 1000) / F.lit(65536.0)
+    half = -(k * 100000 + F.when(k % 2 == 0, 0.0).otherwise(0.5))
+    return _t(spark, sf, "orders").select("o_orderkey", js.format_number(whole).alias("whole"), js.format_number(small).alias("small"), js.format_number(half).alias("half"))
+
+
+#: Vectors of the cipher: key, plain text, bytes (fixed values).
+RC4_VECTORS = [("Key", "Plaintext", "BBF316E8D940AF0AD3"), ("Wiki", "pedia", "1021BF0420"), ("Secret", "Attack at dawn", "45A01F645FC35B383552544B9BF5")]
+
+
+@query("select key, upper(bytes) as bytes from (values " + ", ".join(f"('{k}', '{b}')" for k, _, b in RC4_VECTORS) + ") v(key, bytes)")
+def rc4_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.createDataFrame([(k, p) for k, p, _ in RC4_VECTORS], "key string, plain string")
+    return d.select("key", F.hex(js.rc4(F.encode("plain", "UTF-8"), "key")).alias("bytes"))
+
+
+# -- scripts made of rows: each nation's, whose facts are known ------------------------------------------------------
+
+
+def _made(spark: SparkSession, sf: str) -> DataFrame:
+    uses = F.repeat(F.lit("use(k, a); "), F.col("n_regionkey").cast("int") + 1)
+    text = F.format_string('var a = [%d, "x"], k = %d; function get(i) { return a[i]; } function put(j) { return j; } var t = 0; t = k; %svar dead = 1;', F.col("n_nationkey").cast("long"), F.col("n_nationkey").cast("long"), uses)
+    return _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("script_id"), text.alias("source"))
+
+
+_NATION = "select n_nationkey::bigint as script_id, n_regionkey::bigint + 1 as uses from nation"
+
+
+@query(f"""with s as ({_NATION}) select script_id, name, r + u * uses as refs, w as writes from s, (values ('a', 1::bigint, 1::bigint, 0::bigint), ('k', 1, 1, 0), ('t', 1, 0, 1), ('dead', 0, 0, 0), ('get', 0, 0, 0), ('put', 0, 0, 0), ('i', 1, 0, 0), ('j', 1, 0, 0)) v(name, r, u, w)""")
+def joined_references(spark: SparkSession, sf: str) -> DataFrame:
+    """References joined to symbols: reads and writes of each."""
+    made = _made(spark, sf)
+    return analysis.symbol_stats(facts.symbols(made), facts.references(made)).select("script_id", "name", "refs", "writes")
+
+
+@query(f"with s as ({_NATION}) select script_id, name from s, (values ('dead'), ('get'), ('put')) v(name)")
+def unreferenced_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols without references (anti-join)."""
+    made = _made(spark, sf)
+    return analysis.unused_symbols(facts.symbols(made), facts.references(made)).select("script_id", "name")
+
+
+@query(f"with s as ({_NATION}) select script_id, 'k' as name, script_id || '.0' as literal, 1 + uses as uses from s")
+def inlinable_constants(spark: SparkSession, sf: str) -> DataFrame:
+    """Constants that are never written, with how often they can be inlined."""
+    made = _made(spark, sf)
+    found = analysis.inlinable_constants(facts.nodes(made), facts.symbols(made))
+    return found.groupBy("script_id", "name", "literal").agg(F.count("*").alias("uses"))
+
+
+@query(f"with s as ({_NATION}) select script_id, 'get' as name from s")
+def array_readers(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions that index a variable that holds an array (semi-join)."""
+    return analysis.array_readers(facts.nodes(_made(spark, sf))).select("script_id", "name")
+
+
+@query(f"with s as ({_NATION}) select script_id, 'k' as name from s")
+def gone_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that scripts no longer refer to once they are rewritten (set difference)."""
+    made = _made(spark, sf)
+    new = rewrite_scripts(made).select("script_id", F.col("code").alias("source"))
+    return analysis.gone_references(facts.references(made), facts.references(new))
+
+
+@query(f"with s as ({_NATION}) select script_id, 5 + 3 * uses as n_references, 6::bigint as n_names from s")
+def distinct_names(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.distinct_names(facts.references(_made(spark, sf)))
+
+
+@query(f"with s as ({_NATION}) select script_id, kind, n from s, (values ('program', 1::bigint), ('function', 2)) v(kind, n)")
+def script_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    return facts.scopes(_made(spark, sf)).groupBy("script_id", "kind").agg(F.count("*").alias("n"))
+
+
 # -- relations --------------------------------------------------------------------------------------------------------
 
 
@@ -246,11 +348,50 @@ def preset_expand(spark: SparkSession, sf: str) -> DataFrame:
     return names.where("preset = alias").join(order, "preset").groupBy("preset").agg(F.count("*").alias("rules"))
 
 
-@query("""select * from (values (1, 'VariableDeclarationSplit'), (2, 'VarHoisting'), (3, 'GlobalAliasSimplification'), (4, 'DeclarationMerge'), (5, 'ConstantInlining'), (6, 'ProxyFunctionInlining'), (7, 'FunctionDeclaration'), (8, 'SequenceStatement')) v(rank, rule)""")
+#: The default rules in their order, what other presets have before them, and each rule's phase, priority and kinds (fixed values).
+_PRESETS = """with base(position, rule) as (values (0, 'VariableDeclarationSplit'), (1, 'VarHoisting'), (2, 'GlobalAliasSimplification'), (3, 'DeclarationMerge'), (4, 'ConstantInlining'), (5, 'ProxyFunctionInlining'), (6, 'BlockNormalization'), (7, 'BitwiseSimplification'), (8, 'ConstantFolding'), (9, 'StringConcatenation'), (10, 'BuiltinEvaluation'), (11, 'LiteralMethodEvaluation'), (12, 'Comma'), (13, 'Member'), (14, 'ControlFlow'), (15, 'FunctionDeclaration'), (16, 'TernaryToIf'), (17, 'LogicalToIf'), (18, 'SequenceStatement'), (19, 'DeadCode'), (20, 'UnusedVariable'), (21, 'VariableRenaming')),
+io(position, rule) as (values (0, 'StringArrayRC4Decoder'), (1, 'StringArrayDecoder'), (2, 'StringArrayRotation'), (3, 'ControlFlowArray'), (4, 'ControlFlowFlattening')),
+preset_rule as (
+  select p.preset, position, rule from base, (values ('generic'), ('jsfuck')) p(preset)
+  union all select 'akamai', * from (values (0, 'InitializerInlining'), (1, 'SwitchDispatch')) v
+  union all select 'akamai', position + 2, rule from base
+  union all select 'obfuscator-io', * from io
+  union all select 'obfuscator-io', position + 5, rule from base
+  union all select 'datadome', 0, 'SetTimeoutUnwrap'
+  union all select 'datadome', position + 1, rule from io
+  union all select 'datadome', position + 6, rule from base
+  union all select 'debundler', 0, 'BrowserifyAnnotation'
+),
+rules(rule, phase, priority, kind) as (values
+  ('ProxyFunctionInlining', 'main', 0, 'Call'), ('ProxyFunctionInlining', 'main', 0, 'statements'), ('StringArrayDecoder', 'main', 0, 'Call'), ('StringArrayDecoder', 'main', 0, 'statements'),
+  ('StringArrayRC4Decoder', 'main', 0, 'Call'), ('StringArrayRC4Decoder', 'main', 0, 'statements'), ('StringArrayRotation', 'main', 0, 'Call'), ('StringArrayRotation', 'main', 0, 'statements'),
+  ('SetTimeoutUnwrap', 'main', 0, 'ExpressionStatement'), ('ConstantInlining', 'main', 0, 'Identifier'), ('ConstantInlining', 'main', 0, 'statements'), ('ControlFlowArray', 'main', 0, 'Index'),
+  ('ControlFlowArray', 'main', 0, 'statements'), ('GlobalAliasSimplification', 'main', 0, 'Member'), ('GlobalAliasSimplification', 'main', 0, 'statements'), ('ControlFlowFlattening', 'main', 0, 'statements'),
+  ('DeclarationMerge', 'main', 0, 'statements'), ('InitializerInlining', 'main', 0, 'statements'), ('VarHoisting', 'main', 0, 'statements'), ('VariableDeclarationSplit', 'main', 0, 'statements'),
+  ('DeadCode', 'finalize', 1, 'statements'), ('UnusedVariable', 'finalize', 1, 'statements'), ('Member', 'main', 1, 'Assignment'), ('Member', 'main', 1, 'Index'),
+  ('StringConcatenation', 'main', 1, 'Binary'), ('ConstantFolding', 'main', 1, 'Binary'), ('ConstantFolding', 'main', 1, 'Logical'), ('ConstantFolding', 'main', 1, 'Unary'),
+  ('BitwiseSimplification', 'main', 1, 'Binary'), ('BitwiseSimplification', 'main', 1, 'Unary'), ('BuiltinEvaluation', 'main', 1, 'Call'), ('LiteralMethodEvaluation', 'main', 1, 'Call'),
+  ('LiteralMethodEvaluation', 'main', 1, 'Index'), ('LiteralMethodEvaluation', 'main', 1, 'Member'), ('SwitchDispatch', 'main', 1, 'Call'), ('SwitchDispatch', 'main', 1, 'statements'),
+  ('ControlFlow', 'main', 1, 'Conditional'), ('ControlFlow', 'main', 1, 'If'), ('BlockNormalization', 'main', 1, 'DoWhile'), ('BlockNormalization', 'main', 1, 'For'),
+  ('BlockNormalization', 'main', 1, 'ForIn'), ('BlockNormalization', 'main', 1, 'ForOf'), ('BlockNormalization', 'main', 1, 'If'), ('BlockNormalization', 'main', 1, 'While'),
+  ('LogicalToIf', 'main', 1, 'ExpressionStatement'), ('TernaryToIf', 'main', 1, 'ExpressionStatement'), ('Comma', 'main', 1, 'Sequence'), ('FunctionDeclaration', 'main', 1, 'statements'),
+  ('SequenceStatement', 'main', 1, 'statements'), ('BrowserifyAnnotation', 'finalize', 2, 'statements'))
+"""
+
+
+@query(_PRESETS + "select preset, phase, kind, row_number() over (partition by preset, phase, kind order by priority, position)::int as rank, rule from preset_rule join rules using (rule)")
 def dispatch_order(spark: SparkSession, sf: str) -> DataFrame:
-    """In which order the default rules see a statement list."""
+    """In which order the rules of each preset see each kind of node, in each phase."""
     _, order, rules = analysis.preset_tables(spark)
-    return analysis.dispatch_order(order, rules).where("preset = 'generic' and phase = 'main' and kind = 'statements'").select("rank", "rule")
+    return analysis.dispatch_order(order, rules)
+
+
+@query(_PRESETS + "select combination, row_number() over (partition by combination order by turn, position)::int as place, rule from (values (1, 1, 'akamai'), (1, 2, 'debundler'), (2, 1, 'generic'), (2, 2, 'datadome'), (2, 3, 'jsfuck')) c(combination, turn, preset) join preset_rule using (preset)")
+def combined_presets(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of presets that are used together: one after another, repeats included (union all)."""
+    _, order, _ = analysis.preset_tables(spark)
+    chosen = spark.createDataFrame([(1, 1, "akamai"), (1, 2, "debundler"), (2, 1, "generic"), (2, 2, "datadome"), (2, 3, "jsfuck")], "combination int, turn int, preset string")
+    return analysis.combined_rules(order, chosen)
 
 
 @query("""select * from (values (1::bigint, 'module_1'), (2::bigint, 'common_Tools'), (3::bigint, 'b'), (4::bigint, 'module_4x')) v(module, name)""")
@@ -278,13 +419,25 @@ def table_functions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("select s.script_id, cast(count(*) as int) as n from __scripts s, lateral js_symbols(s.source) t group by s.script_id")
 
 
-@query()
-def golden_rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    """Small scripts with their known results, one row each."""
-    from scriptmill.plans.cases import CASES
+@query("select page_id as script_id, 9::bigint as n_nodes, 'track' as name, 1::bigint as n_references from pages")
+def table_function_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes and references by the table functions."""
+    facts.register(spark)
+    _pages(spark, sf).createOrReplaceTempView("__scripts")
+    return spark.sql("""select n.script_id, n.n_nodes, r.name, r.n_references from
+        (select s.script_id, count(*) as n_nodes from __scripts s, lateral js_nodes(s.source) t group by s.script_id) n
+        join (select s.script_id, t.name, count(*) as n_references from __scripts s, lateral js_references(s.source) t where t.symbol_id is null group by s.script_id, t.name) r on n.script_id = r.script_id""")
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
-    rows = spark.createDataFrame([(i, p, s, w) for i, (p, s, w) in enumerate(CASES)], "case_id int, preset string, source string, expected string")
-    out = [rewrite_scripts(rows.where(F.col("preset") == p), "source", p) for p in sorted({p for p, _, _ in CASES})]
+
+@query("select * from (values " + ", ".join(f"({i}, {_text(p)}, {_text(w)}, true)" for i, (_, p, _, w) in enumerate(CASES)) + ") v(case_id, preset, code, passed)")
+def golden_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Small scripts with their known results, one row each: every rule and every preset."""
+    rows = spark.createDataFrame([(i, p, s, w) for i, (_, p, s, w) in enumerate(CASES)], "case_id int, preset string, source string, expected string")
+    out = [rewrite_scripts(rows.where(F.col("preset") == p), "source", p) for p in sorted({p for _, p, _, _ in CASES})]
     every = out[0]
     for o in out[1:]:
         every = every.unionByName(o)

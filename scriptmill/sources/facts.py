@@ -18,7 +18,7 @@ from scriptmill.kernel.parser import SyntaxFault, parse
 from scriptmill.kernel.scope import Scope, analyse
 from scriptmill.kernel.tree import FIELDS, Node
 
-NODES = "node_id int, parent_id int, slot string, ordinal int, kind string, op string, str_value string, num_value double, bool_value boolean, symbol_id int, is_write boolean"
+NODES = "node_id int, last_id int, parent_id int, slot string, ordinal int, kind string, op string, str_value string, num_value double, bool_value boolean, symbol_id int, is_write boolean"
 SYMBOLS = "symbol_id int, scope_id int, name string, n_redeclared int, n_references int, n_writes int"
 REFERENCES = "node_id int, symbol_id int, name string, is_write boolean"
 SCOPES = "scope_id int, parent_scope_id int, kind string"
@@ -38,6 +38,15 @@ def _numbered(root: Scope) -> dict:
     return {s: i for i, s in enumerate(x for scope in _scopes(root) for x in scope.symbols.values())}
 
 
+def _last_ids(program: Node) -> list[int]:
+    """For each node, the greatest id among it and what is below it."""
+    parents = [parent for _, parent, _, _, _ in _number_nodes(program)]
+    last = list(range(len(parents)))
+    for i in range(len(parents) - 1, 0, -1):
+        last[parents[i]] = max(last[parents[i]], last[i])
+    return last
+
+
 def _number_nodes(program: Node) -> Iterator[tuple[int, int | None, str | None, int, Node]]:
     """(id, parent's id, slot, ordinal, node) in source order."""
     stack: list[tuple[int | None, str | None, int, Node]] = [(None, None, 0, program)]
@@ -60,12 +69,12 @@ def _binding(node: Node) -> tuple:
 
 
 def node_rows(program: Node, root: Scope) -> Iterator[tuple]:
-    ids = _numbered(root)
+    ids, last = _numbered(root), _last_ids(program)
     for n, parent, slot, ordinal, x in _number_nodes(program):
         symbol, write = _binding(x)
         value = getattr(x, "value", None)
         text = x.name if x.kind in ("Identifier", "Member", "KeyName", "PrivateName") and isinstance(x.name, str) else value if isinstance(value, str) else getattr(x, "raw", None) if x.kind in ("Regex", "BigInt") else None
-        yield (n, parent, slot, ordinal, x.kind, getattr(x, "op", None) or getattr(x, "word", None), text, value if isinstance(value, float) else None, value if isinstance(value, bool) else None, ids.get(symbol), write)
+        yield (n, last[n], parent, slot, ordinal, x.kind, getattr(x, "op", None) or getattr(x, "word", None), text, value if isinstance(value, float) else None, value if isinstance(value, bool) else None, ids.get(symbol), write)
 
 
 def symbol_rows(program: Node, root: Scope) -> Iterator[tuple]:

@@ -30,9 +30,15 @@ def from_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(*rest, F.posexplode(inline_scripts(html)).alias("ordinal", "source"))
 
 
-def to_files(rewrites: DataFrame, path: str, code: str = "code") -> None:
-    """One text row for each script; line breaks are kept inside a row's file by the parquet form instead."""
-    rewrites.select(F.col(code).alias("value")).write.mode("overwrite").text(path, lineSep="\n")
+def to_files(rewrites: DataFrame, path: str, code: str = "code", key: str | None = None) -> None:
+    """Text files of JSON lines, one for each script, so that code of many lines comes back whole: see from_lines."""
+    columns = [F.col(key).alias("script_id")] if key else []
+    rewrites.select(*columns, F.col(code).alias("source")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def from_lines(spark: SparkSession, path: str, key_type: str | None = None) -> DataFrame:
+    """What to_files wrote: source, and script_id if it has a type."""
+    return spark.read.schema(", ".join([*([f"script_id {key_type}"] if key_type else []), "source string"])).json(path)
 
 
 def to_table(rewrites: DataFrame, path: str) -> None:

@@ -71,3 +71,19 @@ def test_edits_keep_reference_counts():
     edits.insert_expression(program.body, 0, number(1))
     edits.replace_with_sequence(program.body[2], "expression", [number(3), number(4)])
     assert [t.kind for t in program.body] == ["ExpressionStatement", "VariableDeclaration", "ExpressionStatement", "ExpressionStatement"]
+
+
+def test_created_blocks_have_a_scope():
+    from scriptmill.kernel import edits
+    from scriptmill.kernel.parser import parse
+    from scriptmill.kernel.printer import render
+    from scriptmill.kernel.scope import analyse
+
+    program = parse("let a = 1; f(a); var b = 2; g(b, a);")
+    root = analyse(program)
+    inner = edits.create_block_statement(program.body[:2], root)
+    program.body[:2] = [inner]
+    assert [x.kind for x in root.scopes] == ["block"] and set(root.scopes[0].symbols) == {"a"}
+    assert len(root.scopes[0].symbols["a"].refs) == 1 and root.scopes[0].find("b") is root.symbols["b"]
+    assert len(root.symbols["a"].refs) == 1  # the use that was left outside
+    assert render(program).startswith("{\n    let a = 1;\n    f(a);\n}")

@@ -16,11 +16,21 @@ def run(source, preset="generic"):
     return Deobfuscator.with_preset(preset).deobfuscate(source).strip()
 
 
-@pytest.mark.parametrize(("preset", "source", "expected"), CASES)
-def test_cases(preset, source, expected):
+@pytest.mark.parametrize(("rule", "preset", "source", "expected"), CASES)
+def test_cases(rule, preset, source, expected):
     assert run(source, preset) == expected
 
 
+def test_every_rule_has_a_case_that_it_changes():
+    changed = set()
+    for _, preset, source, _ in CASES:
+        d = rewrite(source, rules_of(preset)).diagnostics
+        changed |= {n for n, m in zip(d.names, d.modifications) if m}
+    every = {r.name for rules in PRESETS.values() for r in rules}
+    assert every - changed == {"VariableRenaming"}  # which changes nothing
+    assert {preset for _, preset, _, _ in CASES} == set(PRESETS)
+
+
 MORE = [
     # operators
     ("f(7 / 2, 7 % 0, -7 % 3, 2 ** 10);", "f(3.5, 7 % 0, -1, 1024);"),
@@ -138,6 +148,16 @@ def test_codecs():
     assert v.base64_decode("x", "short") is None
 
 
+def test_rc4_of_many_equals_one_at_a_time():
+    import random
+
+    own = random.Random(3)
+    data = [bytes(own.randrange(256) for _ in range(own.randrange(60))) for _ in range(40)] + [b""]
+    keys = ["".join(chr(own.randrange(1, 400)) for _ in range(own.randrange(20))) for _ in data]
+    assert v.rc4_of_many(data, keys) == [bytes(v.rc4(list(d), k)) for d, k in zip(data, keys)]
+    assert v.rc4_of_many([], []) == []
+
+
 def encode_rc4(text, key):
     raw = bytes(v.rc4(list(text.encode()), key)).decode("latin-1").encode()
     sextets = "".join(f"{b:08b}" for b in raw)
@@ -198,6 +218,20 @@ def test_bundle():
     assert '/** @type {b} */ r("./b");' in out and '@type {lodash}' not in out
 
 
+def test_flattened_loop_ends():
+    loop = "for (var s = 1; true;) { switch (s) { case 1: f(); s = 2; continue; %s } break; }"
+    for end, want in (("case 2: g();", "f();\ng();"), ("case 2: g(); continue;", "f();\ng();"), ("case 2: g(); break;", "f();\ng();"), ("case 2:", "f();"), ("case 2: break;", "f();")):
+        assert run(loop % end, "obfuscator-io") == want, end
+    for end in ("case 3: g();", "case 2: continue;"):  # nothing says what comes next
+        assert "switch" in run(loop % end, "obfuscator-io"), end
+
+
+@pytest.mark.parametrize("word", ["async function", "function*"])
+def test_decoders_that_are_async_or_generators_stay(word):
+    code = 'var a = ["YQ==", "Yg==", "Yw=="]; %s d(i) { return atob(a[i]); } f(d(0));'
+    assert "atob" in run(code % word, "obfuscator-io") and run(code % "function", "obfuscator-io") == 'f("a");'
+
+
 def test_flattened_loop_with_a_cycle_stays():
     code = "for (var s = 1; true;) { switch (s) { case 1: f(); s = 2; continue; case 2: g(); s = 1; continue; } break; }"
     assert "switch" in run(code, "obfuscator-io")
