@@ -78,6 +78,16 @@ def generated_scripts(spark: SparkSession, sf: str) -> DataFrame:
     return rewrite_scripts(own).select("event_type", F.trim(F.regexp_replace("code", "\n$", "")).alias("code"))
 
 
+@query("""select (c_custkey - 1) // 10 as script_id, 'show(' || string_agg('"' || c_name || '"', ', ' order by c_custkey) || ');' as code from customer group by 1""")
+def decoded_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Obfuscated scripts made of customers: an encoded array, its decoder and calls; each is decoded to one call."""
+    own = _t(spark, sf, "customer").groupBy(((F.col("c_custkey") - 1) / 10).cast("bigint").alias("script_id")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("own"))
+    strings = F.concat_ws(", ", F.transform("own", lambda x: F.concat(F.lit('"'), js.base64_encode(F.encode(x["c_name"], "UTF-8")), F.lit('"'))))
+    calls = F.concat_ws(", ", F.transform("own", lambda x, i: F.concat(F.lit("get("), i.cast("string"), F.lit(")"))))
+    source = F.concat(F.lit("var box = ["), strings, F.lit("]; function get(i, x) { return x = box[i], atob(x) } if (!1) { never(); } else { show("), calls, F.lit("); }"))
+    return rewrite_scripts(own.select("script_id", source.alias("source")), presets="obfuscator-io").select("script_id", F.regexp_replace("code", "\n$", "").alias("code"))
+
+
 # -- scalar functions -------------------------------------------------------------------------------------------------
 
 
@@ -298,14 +308,18 @@ def array_rotation_solve(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.solve_rotation(own.withColumn("turned", turned).withColumn("target", target)).select("array_id", "rotation")
 
 
-@query("""with recursive t(machine, state, next) as (values (1, 1, 4), (1, 4, 2), (1, 2, null), (1, 9, 1), (2, 1, 2), (2, 2, 1), (3, 5, 7)),
-r(machine, depth, state, next, path) as (select machine, 0, state, next, [state] from t where state = (case machine when 3 then 5 else 1 end)
-union all select r.machine, r.depth + 1, t.state, t.next, list_append(r.path, t.state) from r join t on t.machine = r.machine and t.state = r.next where not list_contains(r.path, t.state))
+_MACHINES = """select n_regionkey as machine, n_nationkey as state, case when n_regionkey = 3 then coalesce(lead(n_nationkey) over w, first_value(n_nationkey) over w) when n_regionkey = 4 then coalesce(lead(n_nationkey) over w, -1) else lead(n_nationkey) over w end as next, row_number() over w = 1 as first
+from nation window w as (partition by n_regionkey order by n_name)"""
+
+
+@query(f"""with recursive t as ({_MACHINES}),
+r(machine, depth, state, next) as (select machine, 0, state, next from t where first union all select r.machine, r.depth + 1, t.state, t.next from r join t on t.machine = r.machine and t.state = r.next where r.depth < 30)
 select machine, depth, state from r where machine in (select machine from r where next is null)""")
 def state_trace(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(1, 1, 4), (1, 4, 2), (1, 2, None), (1, 9, 1), (2, 1, 2), (2, 2, 1), (3, 5, 7)], "machine int, state int, next int")
-    starts = spark.createDataFrame([(1, 1), (2, 1), (3, 5)], "machine int, state int")
-    return analysis.trace_states(spark, t, starts, 10)
+    """A machine for each region whose states are its nations; one has a cycle and one a state that isn't there."""
+    _t(spark, sf, "nation").createOrReplaceTempView("nation")
+    t = spark.sql(_MACHINES)
+    return analysis.trace_states(spark, t.drop("first"), t.where("first").select("machine", "state"), 30)
 
 
 @query("""with p(point, a, b) as (values (0, 0, 0), (1, 0, -1), (2, -1, 0), (3, -1, -1), (4, 1431655765, 858993459), (5, 1, 2), (6, -42, 17), (7, 2147483647, 1)),
@@ -394,10 +408,14 @@ def combined_presets(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.combined_rules(order, chosen)
 
 
-@query("""select * from (values (1::bigint, 'module_1'), (2::bigint, 'common_Tools'), (3::bigint, 'b'), (4::bigint, 'module_4x')) v(module, name)""")
+@query("""select n_regionkey as bundle, n_nationkey::bigint as module, case when n_nationkey % 5 = 4 then 'module_' || n_nationkey when n_nationkey % 5 = 3 then 'module_' || n_nationkey || '_x' else 'lib_' || replace(n_name, ' ', '_') end as name from nation""")
 def module_names(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([(0, "../common/Tools.js", 2), (0, "./b", 3), (0, "./c", 3), (0, "../lib/b.js", 3), (0, "./4x", 4)], "bundle int, path string, target long")
-    return analysis.module_names(d, spark.createDataFrame([(0, i) for i in (1, 2, 3, 4)], "bundle int, module long")).select("module", "name")
+    """A bundle for each region: nations as modules that are asked for by several paths, by a digit, or not at all."""
+    n = _t(spark, sf, "nation").select(F.col("n_regionkey").alias("bundle"), F.col("n_nationkey").cast("long").alias("target"), "n_name")
+    rest = F.col("target") % 5
+    paths = F.when(rest == 3, F.array(F.concat(F.lit("./"), F.col("target").cast("string"), F.lit("-x")))).otherwise(F.array(F.concat(F.lit("../lib/"), "n_name", F.lit(".js")), F.concat(F.lit("../../other/lib/"), "n_name"), F.concat(F.lit("../lib/"), "n_name", F.lit("/index.js"))))
+    asked = n.where(rest != 4).select("bundle", F.explode(paths).alias("path"), "target")
+    return analysis.module_names(asked, n.select("bundle", F.col("target").alias("module")))
 
 
 @query("""with d as (select o_custkey as list_id, min(o_orderkey) as ordinal from orders group by 1), a as (select list_id, count(*) as n, min(o_orderkey) as at, arg_min(o_orderpriority, o_orderkey) as literal from d join orders on o_custkey = list_id and o_orderkey > ordinal group by 1)
