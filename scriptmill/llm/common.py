@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -24,9 +25,17 @@ _held: dict[str, Callable[[], None]] = {}
 
 
 def hold(owner: str, release: Callable[[], None] | None = None) -> None:
-    """Called by a worker's function before it uses tables that outlive it; other owners' tables are released first."""
-    for other in [o for o in _held if o != owner]:
+    """Called by a worker's function before it uses tables that outlive it; other owners' tables are released first.
+
+    Workers are used again by later stages, so what is free goes back to the machine: a task begins with little.
+    """
+    others = [o for o in _held if o != owner]
+    for other in others:
         _held.pop(other)()
+    if others:
+        gc.collect()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc's
+        trim(0)
     if release is not None:
         _held[owner] = release
 
@@ -98,6 +107,18 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list | None =
     return near.unionByName(left.where(~named).join(right.where(~named), key, "left"))
 
 
+#: Rows that go to a worker at once, where the session would send more: texts are long.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session sends at most BATCH_ROWS rows at a time from here on, which bounds memory on both sides."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

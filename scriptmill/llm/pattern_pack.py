@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import hold, materialize, uncollected, utf8_texts
+from scriptmill.llm.common import hold, materialize, short_batches, uncollected, utf8_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def patterns(histogram: np.ndarray, capacity: int) -> np.ndarray:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import hold, materialize, utf8_view
+from scriptmill.llm.common import hold, materialize, short_batches, utf8_view
 
 LENGTH, K = 100, 32
 REACH = LENGTH - K
@@ -46,7 +46,7 @@ SEGMENT = 1 << 19
 POSITION_BITS = np.uint64(20)
 CHUNK_BYTES = 6 << 20
 #: Text for each bucket, documents sampled for the first splitters, anchors taken from each.
-BUCKET_BYTES, SAMPLE_DOCS, SAMPLE_EVERY = 16 << 20, 2000, 8
+BUCKET_BYTES, SAMPLE_DOCS, SAMPLE_EVERY = 8 << 20, 2000, 8
 #: Buckets that one step deals to; leads sampled for each bucket of a later step; text for an anchor, about.
 FAN, SAMPLE_EACH, ANCHOR_BYTES = 512, 40, 32
 #: A small corpus has this many buckets too, as far as they have BUCKET_BYTES / LEAST_BUCKETS, so that tasks share it.
@@ -369,6 +369,7 @@ def _sort_bucket(blobs: list[bytes]) -> pa.Table:
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs in order of their buckets: a bucket at a time."""
+    hold("suffix_dedup", _powers.clear)
     last, held = None, []
     for b in batches:
         for p, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
@@ -463,6 +464,7 @@ def repeated_windows(context: np.ndarray, left: np.ndarray, right: np.ndarray, g
 
 
 def _compare(table: pa.Table) -> pa.Table:
+    hold("suffix_dedup", _powers.clear)
     left, right, ids, again, place, first = (table.column(c).to_numpy() for c in ("left", "right", "id", "again", "place", "first"))
     context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, REACH + LENGTH)
     gram = np.ascontiguousarray(context[:, REACH : REACH + K]).view(">u8").astype(np.uint64)
@@ -545,7 +547,7 @@ def dealt(texts: DataFrame, n_bytes: int) -> DataFrame:
 
 def marked(docs: DataFrame) -> DataFrame:
     """row (all columns of docs) with covered, lo and hi, from which the removed byte spans follow."""
-    own = _numbered(docs)
+    own = _numbered(short_batches(docs))
     texts = own.select("id", "again", F.col("row")["text"].alias("text"))
     n_bytes = int(texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0)
     # 1. Anchors to buckets. 2. Sorted buckets; what is covered already is spread over all tasks.
