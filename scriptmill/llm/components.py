@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are harmless; a null end drops its edge; no edges, no rows.
     """
-    both = edges.select("a", "b").where("a is not null and b is not null")
+    # Written first: if edges were computed once for each direction, two spanning forests could differ, and links be lost.
+    both = materialize(edges.select("a", "b").where("a is not null and b is not null"))
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     hubs = hot_keys(both, "b")
     # label: the least of a node's neighbours and itself

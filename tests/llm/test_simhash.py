@@ -148,3 +148,20 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 80)] + [(i, i + 1) for i in range(100, 140)]
     labels = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {i: 0 for i in range(80)} | {i: 100 for i in range(100, 141)}
+
+
+def test_edges_that_differ_each_time_lose_no_link(spark):
+    """Spanning forests depend on the order in which rows arrive; both directions come from one of them."""
+    from pyspark.sql import functions as F
+
+    # One of two forests over four nodes, another one whenever it is computed.
+    forests = spark.createDataFrame([(0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 3, 1), (3, 2, 1), (2, 1, 1)], "a long, b long, forest int")
+
+    @F.udf("int")
+    def which(_):
+        import time
+
+        return time.time_ns() // 1000 % 2
+
+    edges = spark.range(40).select(F.col("id").alias("g"), which.asNondeterministic()("id").alias("forest")).join(forests, "forest").select((F.col("a") + 4 * F.col("g")).alias("a"), (F.col("b") + 4 * F.col("g")).alias("b"))
+    assert {r.node: r.component for r in components(edges).collect()} == {i: i // 4 * 4 for i in range(160)}
