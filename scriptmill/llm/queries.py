@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import causal_lm, decision_list, licences, mih, pairwise_quality, pattern_pack, piece_codec, simhash, suffix_dedup, token_rollup
+from scriptmill.llm import causal_lm, decision_list, fill_middle, licences, mih, pairwise_quality, pattern_pack, piece_codec, simhash, suffix_dedup, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,12 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mih, op2_pairwise_quality, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op8_causal_lm, op9_piece_codec, op10_pattern_pack)}
+    return {f.__name__: f for f in (op1_mih, op2_pairwise_quality, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op8_causal_lm, op9_piece_codec, op10_pattern_pack, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
