@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import causal_lm, decision_list, fill_middle, licences, mih, pairwise_quality, pattern_pack, piece_codec, simhash, suffix_dedup, threshold_search, token_rollup
+from scriptmill.llm import causal_lm, decision_list, fill_middle, licences, mih, pairwise_quality, pattern_pack, personal_data, piece_codec, simhash, suffix_dedup, threshold_search, token_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +68,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mih, op2_pairwise_quality, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op8_causal_lm, op9_piece_codec, op10_pattern_pack, op12_threshold_search, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_mih, op2_pairwise_quality, op3_decision_list, op4_simhash, op5_suffix_dedup, op6_token_rollup, op7_licences, op8_causal_lm, op9_piece_codec, op10_pattern_pack, op11_personal_data, op12_threshold_search, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
