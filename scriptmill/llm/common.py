@@ -87,13 +87,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Keys that hold more rows than this, and more than one row in HOT_SHARE, are joined apart.
-HOT_ROWS, HOT_SHARE = 1000, 1000
+#: Keys that hold more rows than HOT_ROWS, and more than one row in HOT_SHARE or than HOT_MOST, are joined apart: at any size a
+#: task gets at most HOT_MOST rows of one key, and hot keys are fewer than one in HOT_MOST rows or HOT_SHARE.
+HOT_ROWS, HOT_SHARE, HOT_MOST = 1000, 1000, 1_000_000
 
 
 def hot_keys(rows: DataFrame, key: str) -> list:
-    """The keys of many rows: fewer than HOT_SHARE, whatever the table's size."""
-    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    """The keys of many rows."""
+    least = min(max(HOT_ROWS, rows.count() // HOT_SHARE), HOT_MOST)
     return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key).collect()]
 
 

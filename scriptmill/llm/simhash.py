@@ -6,8 +6,8 @@ bits agree on ``free`` whole blocks of radius + free equal blocks (pigeonhole);
 is a table whose key is those blocks' bits, and only rows of one key are compared.
 
 Within a key the bits are stored vertically: a plane for each bit position holds that bit of 64 fingerprints
-in each word. A probe is compared to a whole block at once (the pairs of many small keys share a block): planes that
-differ are added to carry-save counters, and a block is left as soon as all of its counters exceed the radius. Keys with more rows than a
+in each word. Many probes are compared to a whole block at once (the pairs of many small keys share a block): planes that
+differ are added to carry-save counters, and a word of a block is left as soon as all of its counters exceed the radius. Keys with more rows than a
 block are cut into blocks, and each pair of blocks is a task of its own, so that a hot key spreads out.
 A task emits a spanning forest of the links it finds, not the links. ``free`` follows from the number of
 distinct fingerprints, so that a key of unrelated ones has few rows at any size.
@@ -79,54 +79,79 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within(vertical: np.ndarray, flip: np.ndarray, radius: int) -> np.ndarray:
-    """Packed mask of the rows with at most ``radius`` ones in vertical ^ flip.
-
-    The counters are three planes and a sticky overflow plane: four planes at a time are added through two
-    carry-save steps, and the block is abandoned once every row has overflowed.
+def _add(count: list[np.ndarray], over: np.ndarray, four: list[np.ndarray], radius: int) -> np.ndarray:
+    """Carry-save: four more planes in the counters of three planes; returns where the radius is exceeded by now."""
+    a, b, c, d = four
+    ab = a ^ b
+    low, carry = ab ^ c, (a & b) | (ab & c)  # a + b + c = 2 carry + low
+    total, carry2 = low ^ d, low & d
+    k0 = count[0] & total
+    count[0] = count[0] ^ total
+    x = k0 ^ carry
+    twos, fours = x ^ carry2, (k0 & carry) | (x & carry2)
+    k1 = count[1] & twos
+    count[1] = count[1] ^ twos
+    y = k1 ^ fours
+    over = over | (k1 & fours) | (count[2] & y)
+    count[2] = count[2] ^ y
+    more, same = np.zeros_like(over), ~np.zeros_like(over)
+    for bit in (2, 1, 0):  # count > radius, from the top bit down
+        if radius >> bit & 1:
+            same = same & count[bit]
+        else:
+            more = more | (same & count[bit])
+            same = same & ~count[bit]
+    return over | more
+
+
+def within(vertical: np.ndarray, probes: np.ndarray, radius: int, read: list[int] | None = None) -> np.ndarray:
+    """(probes, words): packed masks of the rows with at most ``radius`` bits that differ from each probe.
+
+    Planes are added four at a time for all probes and words at once. A word of a probe is abandoned once all of its rows
+    exceed the radius; when most are, what is left goes on as a list. ``read``, if given, gets the words of planes read.
     """
-    count = np.zeros((3, vertical.shape[1]), np.uint64)
-    over = np.zeros(vertical.shape[1], np.uint64)
-    limit = [radius >> i & 1 for i in range(3)]
+    flip = -((probes.astype(np.uint64)[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+    flip = flip.view(np.uint64)
+    shape = (len(probes), vertical.shape[1])
+    out = np.zeros(shape, np.uint64)
+    count, over, left = [np.zeros(shape, np.uint64) for _ in range(3)], np.zeros(shape, np.uint64), None
     for i in range(0, BITS, 4):
-        a, b, c, d = vertical[i : i + 4] ^ flip[i : i + 4, None]
-        ab = a ^ b
-        low, carry = ab ^ c, (a & b) | (ab & c)  # a + b + c = 2 carry + low
-        total, carry2 = low ^ d, low & d
-        k0 = count[0] & total
-        count[0] ^= total
-        x = k0 ^ carry
-        twos, fours = x ^ carry2, (k0 & carry) | (x & carry2)
-        k1 = count[1] & twos
-        count[1] ^= twos
-        y = k1 ^ fours
-        over |= (k1 & fours) | (count[2] & y)
-        count[2] ^= y
-        more, same = np.zeros_like(over), ~np.zeros_like(over)
-        for bit in (2, 1, 0):  # count > radius, from the top bit down
-            if limit[bit]:
-                same = same & count[bit]
-            else:
-                more = more | (same & count[bit])
-                same = same & ~count[bit]
-        over |= more
-        if not (~over).any():
-            break
-    return ~over
+        if left is None:
+            four = [vertical[j] ^ flip[:, j, None] for j in range(i, i + 4)]
+        else:
+            four = [vertical[j, left[1]] ^ flip[left[0], j] for j in range(i, i + 4)]
+        if read is not None:
+            read.append(4 * over.size)
+        over = _add(count, over, four, radius)
+        going = ~over != 0
+        n = np.count_nonzero(going)
+        if not n:
+            return out
+        if n <= going.size // 2:
+            left = np.nonzero(going) if left is None else (left[0][going], left[1][going])
+            count, over = [c[going] for c in count], over[going]
+    if left is None:
+        return ~over
+    out[left] = ~over
+    return out
 
 
 def near(probe: int, vertical: np.ndarray, radius: int) -> np.ndarray:
     """Packed mask of the rows within the radius of the probe."""
-    return within(vertical, np.array([-((probe >> i) & 1) & 0xFFFFFFFFFFFFFFFF for i in range(BITS)], np.uint64), radius)
+    return within(vertical, np.array([probe], np.uint64), radius)[0]
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     """Which pairs are within the radius: the pairs of many small groups are the rows of one block."""
-    mask = within(planes(x ^ y), np.zeros(BITS, np.uint64), radius)
+    mask = near(0, planes(x ^ y), radius)
     return np.unpackbits(mask.view(np.uint8), bitorder="little")[: len(x)].astype(bool)
 
 
-def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+#: Fingerprints that are probed at once, at most; the first goes alone, for it may link all.
+PROBES = 256
+
+
+def links(left: np.ndarray, right: np.ndarray | None, radius: int, read: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between two lists of fingerprints (right None: within the left)."""
     own = left if right is None else np.concatenate([left, right])
     other = own if right is None else right
@@ -135,22 +160,27 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple
     label = np.arange(len(own))
     apart = len(own)
     found = []
-    for i, p in enumerate(left.astype(np.uint64).tolist()):
-        if apart == 1:  # nothing is left to join
-            break
-        at = i // 64 if right is None else 0  # rows before have been probed
-        mask = near(p, vertical[:, at:], radius)
-        if not mask.any():
-            continue
-        hits = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")) + 64 * at
-        hits = hits[hits < len(other)] + shift
-        hits = hits[label[hits] != label[i]]
-        if not len(hits):
-            continue
-        others, first = np.unique(label[hits], return_index=True)
-        found += [(i, j) for j in hits[first].tolist()]
-        label[np.isin(label, others)] = label[i]
-        apart -= len(others)
+    lo, step = 0, 1
+    while lo < len(left) and apart > 1:  # or nothing is left to join
+        probes = left[lo : lo + step].astype(np.uint64)
+        at = lo // 64 if right is None else 0  # rows before have been probed
+        masks = within(vertical[:, at:], probes, radius, read)
+        if right is None:  # each is near itself
+            i = np.arange(lo, lo + len(probes))
+            masks[i - lo, i // 64 - at] &= ~(np.uint64(1) << (i % 64).astype(np.uint64))
+        for k in np.flatnonzero(masks.any(1)).tolist():
+            i = lo + k
+            hits = np.flatnonzero(np.unpackbits(masks[k].view(np.uint8), bitorder="little")) + 64 * at
+            hits = hits[hits < len(other)] + shift
+            hits = hits[label[hits] != label[i]]
+            if not len(hits):
+                continue
+            others, first = np.unique(label[hits], return_index=True)
+            found += [(i, j) for j in hits[first].tolist()]
+            label[np.isin(label, others)] = label[i]
+            apart -= len(others)
+        lo += len(probes)
+        step = min(2 * step, PROBES)
     return found
 
 

@@ -117,6 +117,20 @@ def test_a_dense_cluster_takes_no_square():
     assert len(sh.links(mixed, None, 4)) == 999 and time.perf_counter() - began < 2
 
 
+def test_work_is_counted_in_planes_read():
+    """Of a square of probes and rows, abandoned words leave a fifth; a cluster that is one from its first probe takes no square."""
+    rng = np.random.default_rng(6)
+    apart = rng.integers(0, 2**63, 4096, dtype=np.uint64)
+    read: list[int] = []
+    assert sh.links(apart, None, 4, read) == []
+    square = len(apart) * (len(apart) // 64) * 64  # words of all planes for all probes
+    assert sum(read) < square / 4 and len(read) < 16 * (len(apart) / sh.PROBES + 10)  # calls: rounds for each group of probes
+    near = np.array([int(apart[0]) ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)], np.uint64)
+    read.clear()
+    assert len(sh.links(np.concatenate([apart[:1], near]), None, 4, read)) == len(near)
+    assert sum(read) <= 2 * 64 * (len(near) // 64 + 2)
+
+
 def test_keys_grow_with_the_number_of_fingerprints():
     assert [sh.free_blocks(n) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [2, 2, 3, 4, 4]
     for free in sh.FREE_BLOCKS:
