@@ -61,16 +61,54 @@ def remainder(a, b) -> Column:
 
 
 def power(a, b) -> Column:
+    """The operator **: what isn't finite stays."""
     return F.pow(_c(a), _c(b))
 
 
+def math_pow(a, b) -> Column:
+    """Math.pow: null where the result isn't finite."""
+    return finite(power(a, b))
+
+
+def _numbers(a, b, test) -> Column:
+    """A test of two numbers that is false where one is NaN (Spark orders NaN last, and equal to itself)."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    return F.when(a.isNotNull() & b.isNotNull(), ~F.isnan(a) & ~F.isnan(b) & test(a, b))
+
+
 def equal(a, b) -> Column:
-    """== and === alike, on numbers."""
-    return _c(a) == _c(b)
+    """== on numbers."""
+    return _numbers(a, b, lambda x, y: x == y)
+
+
+def not_equal(a, b) -> Column:
+    """!= on numbers: NaN is unlike everything."""
+    return ~equal(a, b)
+
+
+def strict_equal(a, b) -> Column:
+    """=== on numbers; booleans and null are numbers here (from_boolean), so it holds where == does."""
+    return _numbers(a, b, lambda x, y: x == y)
+
+
+def strict_not_equal(a, b) -> Column:
+    return ~strict_equal(a, b)
 
 
 def less(a, b) -> Column:
-    return _c(a) < _c(b)
+    return _numbers(a, b, lambda x, y: x < y)
+
+
+def less_equal(a, b) -> Column:
+    return _numbers(a, b, lambda x, y: x <= y)
+
+
+def greater(a, b) -> Column:
+    return _numbers(a, b, lambda x, y: x > y)
+
+
+def greater_equal(a, b) -> Column:
+    return _numbers(a, b, lambda x, y: x >= y)
 
 
 def int32(x) -> Column:
@@ -165,41 +203,59 @@ def parse_int(x, radix: int = 10) -> Column:
     return F.when((prefix != "") & short & (value < F.lit("9223372036854775808").cast("decimal(38,0)")), sign * value.cast("double"))
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x worked out once however often f mentions it: a transform over an array of one."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def format_number(x) -> Column:
     """Plain decimal text: no exponent, no fraction on whole numbers; NaN, inf and -inf by name."""
-    x = _c(x)
-    text = x.cast("string")
-    exponent = F.substring_index(text, "E", -1).try_cast("int")
-    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"[-.]|\.0$", "")
-    digits = F.when(F.length(digits) > 1, F.regexp_replace(digits, "0+$", "")).otherwise(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    point = exponent + 1
-    large = F.when(F.length(digits) <= point, F.rpad(digits, point, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
-    plain = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.when(exponent < 0, small).otherwise(large))
-    named = F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf"))
-    return F.when(named.isNotNull(), named).when(F.contains(text, F.lit("E")), plain).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+    def plain(s: Column) -> Column:
+        """A mantissa's digits with the point moved by the exponent."""
+        digits, exponent = s["digits"], s["exponent"]
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        point = exponent + 1
+        large = F.when(F.length(digits) <= point, F.rpad(digits, point, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+        return F.concat(F.when(s["text"].startswith("-"), "-").otherwise(""), F.when(exponent < 0, small).otherwise(large))
+
+    def of(text: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "E", 1), r"[-.]|\.0$", ""), "(?<=.)0+$", "")
+        moved = bound(F.struct(text.alias("text"), digits.alias("digits"), F.substring_index(text, "E", -1).try_cast("int").alias("exponent")), plain)
+        return F.when(text == "Infinity", "inf").when(text == "-Infinity", "-inf").when(F.contains(text, F.lit("E")), moved).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+    return bound(_c(x).cast("double").cast("string"), of)
 
 
 # -- Math -------------------------------------------------------------------------------------------------------------
 
 
+#: From here on doubles have no fraction.
+WHOLE = 9007199254740992.0
+
+
+def _whole(x, f) -> Column:
+    """f, which goes through 64-bit integers, where it may; beyond, and where there is no fraction, x itself. Signs of zeros stay."""
+    x = _c(x).cast("double")
+    near = f(x).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) >= WHOLE) | (x == 0), x).when((near == 0) & (x < 0), F.lit(-0.0)).otherwise(near)
+
+
 def ceil(x) -> Column:
-    return F.ceil(_c(x)).cast("double")
+    return _whole(x, F.ceil)
 
 
 def floor(x) -> Column:
-    return F.floor(_c(x)).cast("double")
+    return _whole(x, F.floor)
 
 
 def trunc(x) -> Column:
-    x = _c(x)
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    return _whole(x, lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)))
 
 
 def round_(x) -> Column:
-    """Halves away from zero."""
-    x = _c(x)
-    return F.signum(x) * F.floor(F.abs(x) + 0.5)
+    """Halves away from zero: the largest double below a half stays below it."""
+    return _whole(x, lambda v: F.signum(v) * (F.floor(F.abs(v)) + F.when(F.abs(v) - F.floor(F.abs(v)) >= 0.5, 1.0).otherwise(0.0)))
 
 
 def sign(x) -> Column:

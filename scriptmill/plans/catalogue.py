@@ -460,3 +460,6 @@ def golden_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     for o in out[1:]:
         every = every.unionByName(o)
     return every.select("case_id", "preset", F.regexp_replace("code", "\n$", "").alias("code"), (F.regexp_replace("code", "\n$", "") == F.col("expected")).alias("passed"))
+
+
+from scriptmill.plans import deep  # noqa: E402, F401 - registers its queries here

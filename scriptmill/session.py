@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import sys
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,6 +35,34 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder that spark.checkpoint.dir names; in a folder of the session's own only where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not root:
+        if app not in _folders:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            _folders[app] = "file://" + tempfile.mkdtemp(prefix="scriptmill-")
+        root = _folders[app]
+    return f"{root.rstrip('/')}/rounds-{app}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read from it: rounds of an iteration stay short, and lost executors cost
+    no earlier round."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """Like written, with the number of rows (those of which a condition holds), counted by the job that writes them."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count("*" if which is None else F.when(which, 1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and local runs."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)

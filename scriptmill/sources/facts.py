@@ -74,7 +74,8 @@ def node_rows(program: Node, root: Scope) -> Iterator[tuple]:
         symbol, write = _binding(x)
         value = getattr(x, "value", None)
         text = x.name if x.kind in ("Identifier", "Member", "KeyName", "PrivateName") and isinstance(x.name, str) else value if isinstance(value, str) else getattr(x, "raw", None) if x.kind in ("Regex", "BigInt") else None
-        yield (n, last[n], parent, slot, ordinal, x.kind, getattr(x, "op", None) or getattr(x, "word", None), text, value if isinstance(value, float) else None, value if isinstance(value, bool) else None, ids.get(symbol), write)
+        flags = " ".join(f for f, on in (("async", getattr(x, "is_async", False)), ("*", getattr(x, "star", False))) if on)
+        yield (n, last[n], parent, slot, ordinal, x.kind, getattr(x, "op", None) or getattr(x, "word", None) or flags or None, text, value if isinstance(value, float) else None, value if isinstance(value, bool) else None, ids.get(symbol), write)
 
 
 def symbol_rows(program: Node, root: Scope) -> Iterator[tuple]:
