@@ -49,6 +49,8 @@ CHUNK_BYTES = 6 << 20
 BUCKET_BYTES, SAMPLE_DOCS, SAMPLE_EVERY = 8 << 20, 2000, 8
 #: Buckets that one step deals to; leads sampled for each bucket of a later step; text for an anchor, about.
 FAN, SAMPLE_EACH, ANCHOR_BYTES = 512, 40, 32
+#: Texts whose anchors one task deals out again.
+DEAL_BYTES = 1 << 30
 #: A small corpus has this many buckets too, as far as they have BUCKET_BYTES / LEAST_BUCKETS, so that tasks share it.
 LEAST_BUCKETS = 32
 LEAST_ID = -(1 << 63)
@@ -508,6 +510,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(own.repartitionByRange(*order).sortWithinPartitions(*order).select("id", F.monotonically_increasing_id().alias("again"), "row"))
 
 
+def dealers(n_bytes: int, buckets: int) -> int:
+    """Tasks for each bucket that is dealt out again: a task gets DEAL_BYTES of the texts, whatever their size."""
+    return max(1, -(-n_bytes // (buckets * DEAL_BYTES)))
+
+
 def dealt(texts: DataFrame, n_bytes: int) -> DataFrame:
     """The anchors of texts (id, again, text) as blobs of buckets p."""
     share = int(1_000_000 * min(1.0, SAMPLE_DOCS / max(1, texts.count()))) + 1
@@ -539,8 +546,10 @@ def dealt(texts: DataFrame, n_bytes: int) -> DataFrame:
         some = sent.where(F.col("p") != GONE).mapInArrow(_some_leads(every), "p long, n long, leads binary")
         own = some.groupBy("p").applyInArrow(_own_splitters(bucket_anchors), "of long, splitters binary")
         there = sent.where(F.col("p") != GONE)
-        there = there.join(own.withColumnRenamed("of", "p"), "p", "left").select("p", "n", "blob", "splitters")
-        again = there.repartition("p").sortWithinPartitions("p").mapInArrow(_deal_again(CHUNK_BYTES // ANCHOR_BYTES), _DEALT)
+        # On the second level buckets are at most FAN, with FAN splitters each; blobs of a bucket go to several tasks then.
+        own = own.withColumnRenamed("of", "p")
+        there = there.join(F.broadcast(own) if reached == FAN * FAN else own, "p", "left").select("p", "n", "blob", "splitters")
+        again = there.repartition("p", F.pmod(F.xxhash64("blob"), F.lit(dealers(n_bytes, reached // FAN)))).sortWithinPartitions("p").mapInArrow(_deal_again(CHUNK_BYTES // ANCHOR_BYTES), _DEALT)
         sent = sent.where(F.col("p") == GONE).unionByName(again)
     return sent
 

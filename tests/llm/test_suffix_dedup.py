@@ -153,6 +153,22 @@ def test_more_buckets_than_sampled_leads(spark, monkeypatch):
     assert blobs.selectExpr("max(p) as m").head().m >= 4**3
 
 
+def test_more_tasks_than_the_fan_deal_again(spark, monkeypatch):
+    """Blobs of one bucket go to several tasks, as many as the corpus asks for, and the buckets come out the same."""
+    assert sd.dealers(100 << 40, sd.FAN) * sd.FAN > 90_000 and sd.dealers(100 << 30, sd.FAN) == 1
+    texts = [f"{i} " + " ".join(f"word{(i * j) % 97}" for j in range(60)) for i in range(120)]
+    texts += texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((tuple(r) for r in sd.digests(docs).collect()), key=repr)
+    tasks = []
+    for name, value in (("FAN", 4), ("BUCKET_BYTES", 2000), ("SAMPLE_DOCS", 20), ("CHUNK_BYTES", 4000), ("DEAL_BYTES", 1500)):
+        monkeypatch.setattr(sd, name, value)
+    spread = sd.dealers
+    monkeypatch.setattr(sd, "dealers", lambda n, buckets: tasks.append(spread(n, buckets) * buckets) or spread(n, buckets))
+    assert sorted((tuple(r) for r in sd.digests(docs).collect()), key=repr) == want
+    assert tasks and tasks[0] > 4 * sd.FAN
+
+
 def test_blobs_of_a_chunk_are_bounded():
     rng = np.random.default_rng(2)
     body = rng.integers(97, 123, 200_000).astype(np.uint8)
