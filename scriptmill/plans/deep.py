@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptmill.functions import js, values
-from scriptmill.plans import folding, liveness, machines, proxies
+from scriptmill.kernel import patterns as p
+from scriptmill.plans import folding, liveness, machines, proxies, sequences, twigs
 from scriptmill.plans.catalogue import _t, query
 from scriptmill.session import written
 from scriptmill.sources import facts
@@ -96,6 +97,41 @@ def dispatch_cases(spark: SparkSession, sf: str) -> DataFrame:
     return machines.owners(t.drop("rank"), t.where("state % 3 = 0").select("machine", "state", "rank"))
 
 
+# -- patterns ---------------------------------------------------------------------------------------------------------
+
+
+@query("""select c_custkey as script_id, c_name as key, abs(c_acctbal) as amount, case when c_acctbal < 0 then '-' else '' end as sign, c_mktsegment as segment, c_nationkey % 2 = 0 as logged from customer""")
+def pattern_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """What patterns capture in customers' scripts: a call's name and amount, the text that a condition compares to, and whether the
+    branch's block is one log after any number of counters."""
+    step = F.when(F.col("c_nationkey") % 2 == 0, "log(seen);").otherwise("log(seen); stop();")
+    text = F.concat(F.lit('store.put("'), F.col("c_name"), F.lit('", '), F.col("c_acctbal").cast("string"), F.lit('); if (segment === "'), F.col("c_mktsegment"), F.lit('") { '), F.repeat(F.lit("seen++; "), F.col("c_nationkey").cast("int") % 3), step, F.lit(" }"))
+    nodes = written(facts.nodes(_t(spark, sf, "customer").select(F.col("c_custkey").alias("script_id"), text.alias("source"))))
+    amount = p.or_(p.capture("amount", p.any_number), p.unary("-", p.capture("owed", p.any_number)))
+    put = twigs.find(nodes, p.call(p.member(p.identifier("store"), p.identifier("put")), p.capture("key", p.any_string), amount)).select("script_id", F.col("key.str").alias("key"), F.coalesce("amount.num", "owed.num").alias("amount"), F.when(F.col("owed").isNotNull(), "-").otherwise("").alias("sign"))
+    test = p.binary("===", p.identifier("segment"), p.capture("segment"))
+    asked = twigs.find(nodes, p.if_(test, p.any_)).select("script_id", F.col("segment.str").alias("segment"))
+    log = p.expression_statement(p.call(p.identifier("log"), p.any_identifier))
+    whole = p.if_(test, p.block(p.repeat(p.and_(p.not_(log), twigs.has(p.identifier("seen")))), log))
+    logged = twigs.find(nodes, whole).select("script_id", F.lit(True).alias("logged"))
+    return put.join(asked, "script_id").join(logged, "script_id", "left").withColumn("logged", F.coalesce("logged", F.lit(False)))
+
+
+@query("""with k as (select event_id // 4 as list_id, string_agg(event_type[1], '' order by event_id) as kinds from events group by 1)
+select list_id, regexp_full_match(kinds, 'v*[cs]*[^e]p*') as fits, regexp_full_match(kinds, 'v*([cs]+[vp]|p)p*') as greedy from k""")
+def statement_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events four at a time as lists of statements: views, then clicks or signups, then one that is no error, then purchases. As a
+    regular expression, and without giving back, where the one before the purchases can't be what the repeats have taken."""
+    kind = F.col("event_type")
+    items = [kind == "view", kind.isin("click", "signup"), kind != "error", kind == "purchase"]
+    mask = F.lit(0)
+    for i, fits in enumerate(items):
+        mask = mask.bitwiseOR(F.when(fits, 1 << i).otherwise(0))
+    own = sequences.lists(_t(spark, sf, "events").select((F.col("event_id") / 4).cast("long").alias("list_id"), F.col("event_id").alias("ordinal"), mask.alias("mask")), ["list_id"])
+    repeats = [True, True, False, True]
+    return own.select("list_id", sequences.accepts(F.col("masks"), repeats).alias("fits"), sequences.counts(F.col("masks"), repeats).isNotNull().alias("greedy"))
+
+
 # -- scalar functions at the ends of doubles --------------------------------------------------------------------------
 
 _ENDS = "case p_partkey % 7 when 0 then 'nan'::double when 1 then 'inf'::double when 2 then '-inf'::double when 3 then 1e20 when 4 then -1e20 when 5 then p_retailprice else -p_retailprice / 1000 end"
