@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptmill.plans import machines, rotation
 
 #: Rows of a table that may be broadcast.
 MOST_BROADCAST = 10_000
@@ -91,34 +92,18 @@ def merged_declarations(declarations: DataFrame, assignments: DataFrame) -> Data
     return declarations.join(once, ["list_id", "symbol"]).where("n = 1 and at > ordinal and literal is not null").drop("n")
 
 
-def trace_states(spark: SparkSession, transitions: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+def trace_states(transitions: DataFrame, starts: DataFrame) -> DataFrame:
     """The order in which states come: transitions (machine, state, next: null at the end), starts (machine, state).
 
-    A state comes twice at most once: the path stops a cycle, and such machines are left out, like those that
-    come to a state without transition. ``most``: no path is longer than the largest machine.
+    Machines that come to a cycle or to a state without transition are left out; there is no longest machine.
     """
-    transitions.createOrReplaceTempView("__transitions")
-    starts.createOrReplaceTempView("__starts")
-    out = spark.sql(f"""
-        with recursive trace(machine, depth, state, path, next) max recursion level {most + 2} as (
-          select s.machine, 0, s.state, array(s.state), t.next from __starts s join __transitions t on s.machine = t.machine and s.state = t.state
-          union all
-          select r.machine, r.depth + 1, t.state, array_append(r.path, t.state), t.next
-          from trace r join __transitions t on r.machine = t.machine and r.next = t.state where not array_contains(r.path, t.state)
-        )
-        select machine, depth, state, next from trace""")
-    ends = out.groupBy("machine").agg(F.count_if(F.col("next").isNull()).alias("ends"))
-    return out.join(ends.where("ends = 1").select("machine"), "machine").select("machine", "depth", "state")
+    return machines.trace(transitions, starts)
 
 
 def solve_rotation(arrays: DataFrame) -> DataFrame:
     """arrays (array_id, numbers array<bigint>, target): the least left rotation whose alternating checksum, the sum of
     each element times its place, is the target; null if none is."""
-    n = F.size("numbers")
-    at = lambda r, i: F.get("numbers", F.pmod(i + r, n))
-    total = lambda r: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("bigint"), lambda acc, i: acc + (i + 1) * at(r, i))
-    fits = F.filter(F.sequence(F.lit(0), n - 1), lambda r: total(r) == F.col("target"))
-    return arrays.select("array_id", F.when(n > 0, F.get(fits, F.lit(0))).alias("rotation"))
+    return rotation.solve_weighted(arrays).select("array_id", "rotation")
 
 
 def decode_calls(calls: DataFrame, arrays: DataFrame) -> DataFrame:

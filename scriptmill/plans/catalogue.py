@@ -319,7 +319,7 @@ def state_trace(spark: SparkSession, sf: str) -> DataFrame:
     """A machine for each region whose states are its nations; one has a cycle and one a state that isn't there."""
     _t(spark, sf, "nation").createOrReplaceTempView("nation")
     t = spark.sql(_MACHINES)
-    return analysis.trace_states(spark, t.drop("first"), t.where("first").select("machine", "state"), 30)
+    return analysis.trace_states(t.drop("first"), t.where("first").select("machine", "state"))
 
 
 @query("""with p(point, a, b) as (values (0, 0, 0), (1, 0, -1), (2, -1, 0), (3, -1, -1), (4, 1431655765, 858993459), (5, 1, 2), (6, -42, 17), (7, 2147483647, 1)),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from scriptmill.functions import js, values
 from scriptmill.kernel import patterns as p
-from scriptmill.plans import folding, liveness, machines, proxies, sequences, twigs
+from scriptmill.plans import folding, liveness, machines, proxies, rotation, sequences, twigs
 from scriptmill.plans.catalogue import _t, query
 from scriptmill.session import written
-from scriptmill.sources import facts
+from scriptmill.sources import bundles, facts, scripts
 
 # -- expressions ------------------------------------------------------------------------------------------------------
 
@@ -49,9 +49,9 @@ def dead_chains(spark: SparkSession, sf: str) -> DataFrame:
     used = F.col("script_id") % (F.size("own") + 1)
     call = F.when(used > 0, F.concat(F.lit(" use("), name(F.get("own", (used - 1).cast("int"))), F.lit(");"))).otherwise("")
     extra = F.when(F.col("script_id") % 3 == 0, " var kept = [1, -2], busy = g();").otherwise("")
-    scripts = own.select("script_id", F.concat(F.lit("(function () { "), functions, call, extra, F.lit(" })();")).alias("source"))
-    symbols = written(facts.symbols(scripts))
-    gone = liveness.dead(written(facts.nodes(scripts)), symbols, facts.references(scripts)).units
+    made = own.select("script_id", F.concat(F.lit("(function () { "), functions, call, extra, F.lit(" })();")).alias("source"))
+    symbols = written(facts.symbols(made))
+    gone = liveness.dead(written(facts.nodes(made)), symbols, facts.references(made)).units
     return gone.join(symbols.select("script_id", "symbol_id", "name"), ["script_id", "symbol_id"]).select("script_id", "name", "round")
 
 
@@ -69,8 +69,8 @@ def proxy_chains(spark: SparkSession, sf: str) -> DataFrame:
     first = lambda k: F.concat(F.lit("a "), F.when(k % 3 == 0, "+").when(k % 3 == 1, "-").otherwise("*"), F.lit(" b"))
     body = lambda k, i: F.when(k % 10 == 0, first(k)).when(k % 10 == 9, F.concat(name(k), F.lit("(a, b)"))).otherwise(F.concat(F.lit("("), name(F.get("own", i - 1)), F.lit("(b, a))")))
     text = F.array_join(F.transform("own", lambda k, i: F.concat(F.lit("function "), name(k), F.lit("(a, b) { return "), body(k, i), F.lit("; }"))), " ")
-    scripts = own.select("script_id", text.alias("source"))
-    found, _ = proxies.resolve(written(facts.nodes(scripts)), facts.symbols(scripts))
+    made = own.select("script_id", text.alias("source"))
+    found, _ = proxies.resolve(written(facts.nodes(made)), facts.symbols(made))
     known = F.col("shape") != "cycle"
     return found.select("script_id", "name", "shape", F.when(known, F.col("op")).alias("op"), F.when(known, F.array_join("places", ",")).alias("places"), "inlinable")
 
@@ -97,6 +97,61 @@ def dispatch_cases(spark: SparkSession, sf: str) -> DataFrame:
     return machines.owners(t.drop("rank"), t.where("state % 3 = 0").select("machine", "state", "rank"))
 
 
+# -- rotations --------------------------------------------------------------------------------------------------------
+
+
+@query("""select l_linenumber as array_id, 17 as rotation from lineitem group by 1 having count(*) > 17""")
+def long_rotations(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of all lines of one number as an array, with the checksum that it has when turned by 17: seven arrays of any length."""
+    own = _t(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("array_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"))), lambda x: x["l_partkey"]).alias("numbers"))
+    n = F.size("numbers")
+    turned = F.concat(F.slice("numbers", F.lit(18), n - 17), F.slice("numbers", F.lit(1), F.lit(17)))
+    target = F.aggregate(F.transform("turned", lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return rotation.solve_weighted(own.where(n > 17).withColumn("turned", turned).withColumn("target", target)).select("array_id", "rotation")
+
+
+@query("""select c_custkey // 10 as array_id, 3 as rotation from customer group by 1 having count(*) = 10""")
+def checksum_rotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten customers as texts that begin with a number, and a checksum of three terms, as decoders have it, of the turn by three."""
+    c = _t(spark, sf, "customer").select((F.col("c_custkey") / 10).cast("long").alias("array_id"), (F.col("c_custkey") % 10).cast("int").alias("place"), F.concat((F.col("c_custkey") * 7 + F.col("c_nationkey")).cast("string"), "c_name").alias("text"), (F.col("c_custkey") * 7 + F.col("c_nationkey")).cast("double").alias("x"))
+    whole = c.groupBy("array_id").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("x")).where("n = 10")
+    x = lambda place: F.element_at("x", F.lit((place + 3) % 10))
+    target = -x(0) / 1 * (x(4) / 2) + x(7) / 3 + -x(1) / 4 * (-x(8) / 5) * (x(2) / 6)
+    factors = [(0, 0, 0, 1.0, -1.0), (0, 1, 4, 2.0, 1.0), (1, 0, 7, 3.0, 1.0), (2, 0, 1, 4.0, -1.0), (2, 1, 8, 5.0, -1.0), (2, 2, 2, 6.0, 1.0)]
+    names = ("term", "factor", "place", "divisor", "sign")
+    terms = whole.select("array_id", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, f)]) for f in factors])).alias("f")).select("array_id", "f.*")
+    return rotation.solve_checksum(c.join(whole, "array_id", "left_semi").select("array_id", "place", "text"), terms, whole.select("array_id", target.alias("target")))
+
+
+@query("""select c_custkey // 10 as script_id, 'd' || c_custkey as name, c_custkey % 10 + 1 as hops from customer""")
+def alias_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten customers as names, each declared as the one before and the first as a decoder: what each stands for, through how many."""
+    own = _t(spark, sf, "customer").groupBy((F.col("c_custkey") / 10).cast("long").alias("script_id")).agg(F.sort_array(F.collect_list("c_custkey")).alias("own"))
+    before = lambda i: F.when(i == 0, "decode").otherwise(F.concat(F.lit("d"), F.get("own", i - 1).cast("string")))
+    text = F.array_join(F.transform("own", lambda k, i: F.concat(F.lit("var d"), k.cast("string"), F.lit(" = "), before(i), F.lit(";"))), " ")
+    made = own.select("script_id", F.concat(F.lit("function decode(i) { return i; } "), text).alias("source"))
+    symbols = written(facts.symbols(made))
+    found, _ = rotation.aliases(written(facts.nodes(made)), symbols)
+    names = symbols.select("script_id", "symbol_id", "name")
+    root = names.withColumnsRenamed({"symbol_id": "root", "name": "root_name"})
+    return found.join(names, ["script_id", "symbol_id"]).join(root, ["script_id", "root"]).where("root_name = 'decode'").select("script_id", "name", "hops")
+
+
+# -- scripts of one page ----------------------------------------------------------------------------------------------
+
+
+@query("""with s as (select page_id, regexp_extract(html, 'track\(([0-9]+)\)', 1) as n from pages)
+select page_id, ordinal, name, declared_in, uses from s, (values (0, 'track', 1, 1::bigint), (1, 'total', 2, 1), (2, 'track', 1, 2), (2, 'missing', null, 1)) v(ordinal, name, declared_in, uses)""")
+def bundled_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's own script with two more: what one declares and another uses, over all scripts of the page."""
+    pages = _t(spark, sf, "pages")
+    own = scripts.from_pages(pages.select("page_id", "html"))
+    last = own.groupBy("page_id").agg((F.max("ordinal") + 1).alias("next"))
+    more = F.array(F.lit("function track(n) { total += n; }"), F.concat(F.lit("var total = "), F.col("page_id").cast("string"), F.lit("; track(total); missing(track);")))
+    added = last.select("page_id", F.posexplode(more).alias("at", "source"), "next").select("page_id", (F.col("next") + F.col("at")).alias("ordinal"), "source")
+    return bundles.bundled(own.unionByName(added))
+
+
 # -- patterns ---------------------------------------------------------------------------------------------------------
 
 

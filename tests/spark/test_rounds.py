@@ -11,7 +11,7 @@ from scriptmill.kernel.parser import parse
 from scriptmill.kernel.presets import PRESETS
 from scriptmill.kernel.tree import bare
 from scriptmill.kernel.values import format_number
-from scriptmill.plans import folding, jumping, liveness, machines, proxies
+from scriptmill.plans import folding, jumping, liveness, machines, proxies, rotation
 from scriptmill.session import written
 from scriptmill.sources import facts
 
@@ -178,6 +178,37 @@ def test_shared_cases_go_to_the_first_entry(spark):
     assert got == [(1, 1, i, 6 + i) for i in range(4)] + [(1, 2, i, i) for i in range(6)] + [(2, 2, 0, 5), (2, 2, 1, 6)]
 
 
+def test_rotations_in_one_pass(spark):
+    rng = random.Random(8)
+    numbers = [rng.randint(-50, 50) for _ in range(10_000)]
+    turn = lambda a, r: a[r:] + a[:r]
+    total = lambda a: sum((i + 1) * x for i, x in enumerate(a))
+    rows = [(1, numbers, total(turn(numbers, 7_777))), (2, [1, 1], 7), (3, [], 0), (4, [5, 5, 5], 30)]
+    frame = spark.createDataFrame(rows, "array_id int, numbers array<bigint>, target bigint")
+    first = next(r for r in range(10_000) if r == 7_777 or total(turn(numbers, r)) == rows[0][2])
+    assert {r.array_id: r.rotation for r in rotation.solve_weighted(frame).collect()} == {1: first, 2: None, 3: None, 4: 0}
+
+
+def test_checksums_of_terms(spark):
+    texts = {1: ["12a", "7", "x3", "40", "5b"], 2: ["1", "2"], 3: ["a", "b"]}
+    strings = spark.createDataFrame([(i, p, t) for i, ts in texts.items() for p, t in enumerate(ts)], "array_id int, place int, text string")
+    terms = spark.createDataFrame([(i, 0, 0, 0, 1.0, -1.0) for i in texts] + [(i, 1, 0, 1, 2.0, 1.0) for i in texts] + [(i, 1, 1, 0, 4.0, -1.0) for i in texts], "array_id int, term int, factor int, place int, divisor double, sign double")
+    at = lambda ts, p, r: float(ts[(p + r) % len(ts)].rstrip("ab"))
+    check = lambda ts, r: -at(ts, 0, r) + at(ts, 1, r) / 2 * -at(ts, 0, r) / 4
+    targets = spark.createDataFrame([(1, check(texts[1], 3)), (2, 99.0), (3, 1.0)], "array_id int, target double")
+    assert {r.array_id: r.rotation for r in rotation.solve_checksum(strings, terms, targets).collect()} == {1: 3, 2: None, 3: None}
+
+
+def test_aliases(spark):
+    deep = "var d0 = atob;" + "".join(f"var d{i} = d{i - 1};" for i in range(1, 200)) + "var w = d5; w = 1; var x = y, y = x; let z = w;"
+    scripts = table(spark, [deep])
+    symbols = written(facts.symbols(scripts))
+    found, joins = rotation.aliases(written(facts.nodes(scripts)), symbols)
+    names = {r.symbol_id: r.name for r in symbols.collect()}
+    got = {names[r.symbol_id]: (names[r.root], r.hops) for r in found.collect()}
+    assert got == {f"d{i}": ("d0", i) for i in range(1, 200)} | {"z": ("w", 1)} and joins <= 9
+
+
 @pytest.mark.parametrize("x, up, down, whole, near", [(1.5, 2, 1, 1, 2), (-1.5, -1, -2, -1, -2), (0.49999999999999994, 1, 0, 0, 0), (1e20, 1e20, 1e20, 1e20, 1e20), (-2.5, -2, -3, -2, -3), (float("inf"),) * 5, (9007199254740993.0,) * 5])
 def test_rounding(spark, x, up, down, whole, near):
     r = spark.range(1).select(js.ceil(F.lit(x)).alias("up"), js.floor(F.lit(x)).alias("down"), js.trunc(F.lit(x)).alias("whole"), js.round_(F.lit(x)).alias("near")).head()
