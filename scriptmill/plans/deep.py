@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from scriptmill.functions import js, values
 from scriptmill.kernel import patterns as p
-from scriptmill.plans import folding, liveness, machines, proxies, rotation, sequences, twigs
+from scriptmill.plans import edits, folding, liveness, machines, proxies, rotation, sequences, twigs
 from scriptmill.plans.catalogue import _t, query
 from scriptmill.session import written
-from scriptmill.sources import bundles, facts, scripts
+from scriptmill.sources import bundles, facts, scripts, spans
 
 # -- expressions ------------------------------------------------------------------------------------------------------
 
@@ -140,7 +140,7 @@ def alias_roots(spark: SparkSession, sf: str) -> DataFrame:
 # -- scripts of one page ----------------------------------------------------------------------------------------------
 
 
-@query("""with s as (select page_id, regexp_extract(html, 'track\(([0-9]+)\)', 1) as n from pages)
+@query("""with s as (select page_id, regexp_extract(html, 'track\\(([0-9]+)\\)', 1) as n from pages)
 select page_id, ordinal, name, declared_in, uses from s, (values (0, 'track', 1, 1::bigint), (1, 'total', 2, 1), (2, 'track', 1, 2), (2, 'missing', null, 1)) v(ordinal, name, declared_in, uses)""")
 def bundled_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Each page's own script with two more: what one declares and another uses, over all scripts of the page."""
@@ -152,6 +152,24 @@ def bundled_pages(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.bundled(own.unionByName(added))
 
 
+# -- edits ------------------------------------------------------------------------------------------------------------
+
+
+@query("""select o_custkey as script_id, string_agg('var b' || o_orderkey || ' = ' || o_orderkey || '; log(' || o_orderkey || E');\\nuse(b' || o_orderkey || '); ; one(' || o_orderkey || E');\\none(' || o_orderkey || ');', ' ' order by o_orderkey) as source from orders group by 1""")
+def edited_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' scripts with four statements an order: a name renamed, a statement inserted, one removed, and one replaced by two."""
+    k = lambda x: x.cast("string")
+    part = lambda x: F.concat(F.lit("var a"), k(x), F.lit(" = "), k(x), F.lit("; use(a"), k(x), F.lit("); drop(a"), k(x), F.lit("); two("), k(x), F.lit(");"))
+    own = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("script_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), part), " ").alias("source"))
+    nodes, at = written(facts.nodes(own)), written(spans.spans(own))
+    names = facts.symbols(own).select("script_id", "symbol_id", F.concat(F.lit("b"), F.substring("name", 2, 20)).alias("name"))
+    called = twigs.find(nodes, p.expression_statement(p.call(p.capture("f"), p.capture("x")))).select("script_id", "node_id", F.col("f.str").alias("f"), F.coalesce(F.substring("x.str", 2, 20), F.col("x.num").cast("long").cast("string")).alias("x"))
+    texts = lambda name, n: F.array_repeat(F.concat(F.lit(f"{name}("), F.col("x"), F.lit(");")), n)
+    action = F.when(F.col("f") == "use", "before").when(F.col("f") == "drop", "remove").otherwise("replace")
+    more = called.select("script_id", "node_id", F.lit(1).cast("long").alias("number"), action.alias("action"), F.when(F.col("f") == "use", texts("log", 1)).otherwise(texts("one", 2)).alias("texts"))
+    return edits.apply(own, edits.renames(nodes, at, names).unionByName(more), nodes, at)
+
+
 # -- patterns ---------------------------------------------------------------------------------------------------------
 
 

@@ -104,11 +104,14 @@ def scope_rows(program: Node, root: Scope) -> Iterator[tuple]:
         yield i, place.get(s.parent), s.kind
 
 
-def _rows(source: str | None, f: Callable) -> Iterator[tuple]:
-    """No rows for null and for what is no program."""
+def _rows(source: str | None, f: Callable | None, whole: Callable | None = None) -> Iterator[tuple]:
+    """No rows for null and for what is no program. ``whole`` parses for itself."""
     if source is None:
         return
     try:
+        if whole is not None:
+            yield from list(whole(source))
+            return
         program = parse(source)
         root = analyse(program)
     except (SyntaxFault, RecursionError, ValueError, OverflowError):
@@ -116,7 +119,7 @@ def _rows(source: str | None, f: Callable) -> Iterator[tuple]:
     yield from f(program, root)
 
 
-def _table(scripts: DataFrame, key: str, source: str, columns: str, f: Callable) -> DataFrame:
+def _table(scripts: DataFrame, key: str, source: str, columns: str, f: Callable | None, whole: Callable | None = None) -> DataFrame:
     key_type = dict(scripts.dtypes)[key]
     names = [key, *(c.split()[0] for c in columns.split(", "))]
     types = [{"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in columns.split(", ")]
@@ -134,7 +137,7 @@ def _table(scripts: DataFrame, key: str, source: str, columns: str, f: Callable)
                 return pa.RecordBatch.from_arrays(out, names)
 
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for r in _rows(s, f):
+                for r in _rows(s, f, whole):
                     keys.append(k)
                     rows.append(r)
                     if len(rows) >= BATCH_ROWS:
