@@ -221,10 +221,12 @@ def js_format_number(spark: SparkSession, sf: str) -> DataFrame:
 RC4_VECTORS = [("Key", "Plaintext", "BBF316E8D940AF0AD3"), ("Wiki", "pedia", "1021BF0420"), ("Secret", "Attack at dawn", "45A01F645FC35B383552544B9BF5")]
 
 
-@query("select key, upper(bytes) as bytes from (values " + ", ".join(f"('{k}', '{b}')" for k, _, b in RC4_VECTORS) + ") v(key, bytes)")
+@query("select c_custkey, key, upper(bytes) as bytes from customer join (values " + ", ".join(f"({i}, '{k}', '{b}')" for i, (k, _, b) in enumerate(RC4_VECTORS)) + ") v(i, key, bytes) on i = c_custkey % 3")
 def rc4_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([(k, p) for k, p, _ in RC4_VECTORS], "key string, plain string")
-    return d.select("key", F.hex(js.rc4(F.encode("plain", "UTF-8"), "key")).alias("bytes"))
+    """Each customer's vector, enciphered."""
+    i = (F.col("c_custkey") % len(RC4_VECTORS)).cast("int")
+    d = _t(spark, sf, "customer").select("c_custkey", F.get(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("plain")) for k, t, _ in RC4_VECTORS]), i).alias("v"))
+    return d.select("c_custkey", "v.key", F.hex(js.rc4(F.encode("v.plain", "UTF-8"), F.col("v.key"))).alias("bytes"))
 
 
 # -- scripts made of rows: each nation's, whose facts are known ------------------------------------------------------
@@ -322,26 +324,28 @@ def state_trace(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.trace_states(t.drop("first"), t.where("first").select("machine", "state"))
 
 
-@query("""with p(point, a, b) as (values (0, 0, 0), (1, 0, -1), (2, -1, 0), (3, -1, -1), (4, 1431655765, 858993459), (5, 1, 2), (6, -42, 17), (7, 2147483647, 1)),
-e(expression_id, point, value) as (select 1, point, (a & ~b) | (~a & b) from p union all select 2, point, ~(~a & ~b) from p union all select 3, point, (a | b) & ~(a & b) | (a & b) from p union all select 4, point, a & 7 from p),
-c(form, rank, nodes, point, value) as (select 'a', 0, 1, point, a from p union all select 'b', 1, 1, point, b from p union all select '~a', 2, 2, point, ~a from p union all select 'a & b', 6, 3, point, a & b from p union all select 'a | b', 7, 3, point, a | b from p union all select 'a ^ b', 8, 3, point, xor(a, b) from p),
-m as (select expression_id, form, rank, nodes from e join c using (point) group by all having bool_and(e.value = c.value))
-select expression_id, arg_min(form, rank) as form, min_by(nodes, rank) as nodes from m group by 1""")
+#: Points at which expressions are compared (fixed values).
+MBA_POINTS = [(0, 0, 0), (1, 0, -1), (2, -1, 0), (3, -1, -1), (4, 0x55555555, 0x33333333), (5, 1, 2), (6, -42, 17), (7, 0x7FFFFFFF, 1)]
+
+
+@query("""select p_partkey as expression_id, form, nodes from part join (values (0, 'a ^ b', 3), (1, 'a & b', 3), (2, 'a | b', 3)) v(i, form, nodes) on i = p_partkey % 4""")
 def mba_match(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame([(0, 0, 0), (1, 0, -1), (2, -1, 0), (3, -1, -1), (4, 0x55555555, 0x33333333), (5, 1, 2), (6, -42, 17), (7, 0x7FFFFFFF, 1)], "point int, a int, b int")
-    forms = {1: "(a & ~b) | (~a & b)", 2: "~(~a & ~b)", 3: "(a | b) & ~(a & b) | (a & b)", 4: "a & 7"}
-    expressions = p.select("point", F.explode(F.array(*[F.struct(F.lit(i).alias("expression_id"), F.expr(e).alias("value")) for i, e in forms.items()])).alias("e")).select("e.expression_id", "point", "e.value")
+    """Parts as mixed expressions of two names, one in four of which is like no simpler form: the first candidate that agrees at all points."""
+    p = spark.createDataFrame(MBA_POINTS, "point int, a int, b int")
+    forms = ["(a & ~b) | (~a & b)", "~(~a | ~b)", "(a | b) & ~(a & b) | (a & b)", "a & 7"]
+    values = p.select("point", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(e).alias("value")) for i, e in enumerate(forms)])).alias("e")).select("e.i", "point", "e.value")
+    own = _t(spark, sf, "part").select(F.col("p_partkey").alias("expression_id"), (F.col("p_partkey") % 4).cast("int").alias("i"))
     wanted = {"a": (0, 1), "b": (1, 1), "~a": (2, 2), "a & b": (6, 3), "a | b": (7, 3), "a ^ b": (8, 3)}
     candidates = p.select("point", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.lit(r).alias("rank"), F.lit(n).alias("nodes"), F.expr(f).alias("value")) for f, (r, n) in wanted.items()])).alias("c")).select("c.*", "point")
-    return analysis.match_identities(expressions, candidates)
+    return analysis.match_identities(own.join(F.broadcast(values), "i").drop("i"), candidates)
 
 
-@query("""with xy as (select x.range as x, y.range as y from range(256) x, range(256) y), h as (select x, y, xor(xor((x * 421) & 4294967295, (2 * 619) & 4294967295), 398) & 31 as m from xy)
-select x, y, xor(xor((y * 421) & 4294967295, (m * 619) & 4294967295), 398) & 31 as value from h""")
+@query("""with xy as (select l_orderkey, l_linenumber, l_partkey % 256 as x, l_suppkey % 256 as y from lineitem), h as (select *, xor(xor((x * 421) & 4294967295, (2 * 619) & 4294967295), 398) & 31 as m from xy)
+select l_orderkey, l_linenumber, x, y, xor(xor((y * 421) & 4294967295, (m * 619) & 4294967295), 398) & 31 as value from h""")
 def cf_array_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """All entries of a table that a hash function builds."""
-    xy = spark.range(65536).select((F.col("id") / 256).cast("bigint").alias("x"), (F.col("id") % 256).alias("y"))
-    return xy.select("x", "y", analysis.table_hash(F.col("x"), F.col("y"), 2, (421, 619, 2, 199)).alias("value"))
+    """Lines as look-ups in a table that a hash function builds."""
+    xy = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("x"), (F.col("l_suppkey") % 256).alias("y"))
+    return xy.select("l_orderkey", "l_linenumber", "x", "y", analysis.table_hash(F.col("x"), F.col("y"), 2, (421, 619, 2, 199)).alias("value"))
 
 
 @query("""with s as (select user_id as list_id, row_number() over (partition by user_id order by ts, event_id) as ordinal, case event_type when 'purchase' then 'Return' when 'error' then 'Throw' when 'login' then 'FunctionDeclaration' else 'ExpressionStatement' end as kind from events),
@@ -356,10 +360,23 @@ def first_terminal(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.reachable_statements(own).select("list_id", "ordinal", "kind")
 
 
-@query("""select p as preset, n::bigint as rules from (values ('generic', 22), ('jsfuck', 22), ('obfuscator-io', 27), ('akamai', 24), ('datadome', 28), ('debundler', 1)) v(p, n)""")
+#: Presets in the order in which pages choose them here.
+CHOICES = ["generic", "jsfuck", "obfuscator-io", "akamai", "datadome", "debundler"]
+_CHOSEN = "select page_id as script_id, v.preset from pages join (values " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(CHOICES)) + ") v(i, preset) on i = page_id % 6"
+
+
+def _chosen(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page with a preset."""
+    choice = F.get(F.array(*map(F.lit, CHOICES)), (F.col("page_id") % len(CHOICES)).cast("int"))
+    return _t(spark, sf, "pages").select(F.col("page_id").alias("script_id"), choice.alias("preset"))
+
+
+@query(f"""with c as ({_CHOSEN}) select script_id, preset, n::bigint as rules from c join (values ('generic', 22), ('jsfuck', 22), ('obfuscator-io', 27), ('akamai', 24), ('datadome', 28), ('debundler', 1)) v(p, n) on p = preset""")
 def preset_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rules each page's preset has."""
     names, order, _ = analysis.preset_tables(spark)
-    return names.where("preset = alias").join(order, "preset").groupBy("preset").agg(F.count("*").alias("rules"))
+    sizes = names.where("preset = alias").join(order, "preset").groupBy("preset").agg(F.count("*").alias("rules"))
+    return _chosen(spark, sf).join(F.broadcast(sizes), "preset").select("script_id", "preset", "rules")
 
 
 #: The default rules in their order, what other presets have before them, and each rule's phase, priority and kinds (fixed values).
@@ -393,19 +410,20 @@ rules(rule, phase, priority, kind) as (values
 """
 
 
-@query(_PRESETS + "select preset, phase, kind, row_number() over (partition by preset, phase, kind order by priority, position)::int as rank, rule from preset_rule join rules using (rule)")
+@query(_PRESETS + ", c as (" + _CHOSEN + ") select script_id, phase, kind, rank, rule from c join (select preset, phase, kind, row_number() over (partition by preset, phase, kind order by priority, position)::int as rank, rule from preset_rule join rules using (rule)) d using (preset)")
 def dispatch_order(spark: SparkSession, sf: str) -> DataFrame:
-    """In which order the rules of each preset see each kind of node, in each phase."""
+    """In which order the rules of each page's preset see each kind of node, in each phase."""
     _, order, rules = analysis.preset_tables(spark)
-    return analysis.dispatch_order(order, rules)
+    return _chosen(spark, sf).join(F.broadcast(analysis.dispatch_order(order, rules)), "preset").select("script_id", "phase", "kind", "rank", "rule")
 
 
-@query(_PRESETS + "select combination, row_number() over (partition by combination order by turn, position)::int as place, rule from (values (1, 1, 'akamai'), (1, 2, 'debundler'), (2, 1, 'generic'), (2, 2, 'datadome'), (2, 3, 'jsfuck')) c(combination, turn, preset) join preset_rule using (preset)")
+@query(_PRESETS + ", c as (" + _CHOSEN + "), k as (select script_id as combination, 1 as turn, preset from c union all select script_id, 2, case when preset = 'akamai' then 'debundler' else 'akamai' end from c) select combination, row_number() over (partition by combination order by turn, position)::int as place, rule from k join preset_rule using (preset)")
 def combined_presets(spark: SparkSession, sf: str) -> DataFrame:
-    """The rules of presets that are used together: one after another, repeats included (union all)."""
+    """The rules of two presets that a page uses together: one after another, repeats included (union all)."""
     _, order, _ = analysis.preset_tables(spark)
-    chosen = spark.createDataFrame([(1, 1, "akamai"), (1, 2, "debundler"), (2, 1, "generic"), (2, 2, "datadome"), (2, 3, "jsfuck")], "combination int, turn int, preset string")
-    return analysis.combined_rules(order, chosen)
+    c = _chosen(spark, sf)
+    turn = lambda n, p: c.select(F.col("script_id").alias("combination"), F.lit(n).alias("turn"), p.alias("preset"))
+    return analysis.combined_rules(order, turn(1, F.col("preset")).unionByName(turn(2, F.when(F.col("preset") == "akamai", "debundler").otherwise("akamai"))))
 
 
 @query("""select n_regionkey as bundle, n_nationkey::bigint as module, case when n_nationkey % 5 = 4 then 'module_' || n_nationkey when n_nationkey % 5 = 3 then 'module_' || n_nationkey || '_x' else 'lib_' || replace(n_name, ' ', '_') end as name from nation""")
@@ -451,15 +469,16 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-@query("select * from (values " + ", ".join(f"({i}, {_text(p)}, {_text(w)}, true)" for i, (_, p, _, w) in enumerate(CASES)) + ") v(case_id, preset, code, passed)")
+@query("select c_custkey, case_id, preset, code, true as passed from customer join (values " + ", ".join(f"({i}, {_text(p)}, {_text(w)})" for i, (_, p, _, w) in enumerate(CASES)) + f") v(case_id, preset, code) on case_id = c_custkey % {len(CASES)}")
 def golden_rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    """Small scripts with their known results, one row each: every rule and every preset."""
-    rows = spark.createDataFrame([(i, p, s, w) for i, (_, p, s, w) in enumerate(CASES)], "case_id int, preset string, source string, expected string")
+    """Customers' scripts, each one of the small ones with known results: every rule and every preset."""
+    cases = spark.createDataFrame([(i, p, s, w) for i, (_, p, s, w) in enumerate(CASES)], "case_id int, preset string, source string, expected string")
+    rows = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % len(CASES)).cast("int").alias("case_id")).join(F.broadcast(cases), "case_id")
     out = [rewrite_scripts(rows.where(F.col("preset") == p), "source", p) for p in sorted({p for _, p, _, _ in CASES})]
     every = out[0]
     for o in out[1:]:
         every = every.unionByName(o)
-    return every.select("case_id", "preset", F.regexp_replace("code", "\n$", "").alias("code"), (F.regexp_replace("code", "\n$", "") == F.col("expected")).alias("passed"))
+    return every.select("c_custkey", "case_id", "preset", F.regexp_replace("code", "\n$", "").alias("code"), (F.regexp_replace("code", "\n$", "") == F.col("expected")).alias("passed"))
 
 
 from scriptmill.plans import deep  # noqa: E402, F401 - registers its queries here
