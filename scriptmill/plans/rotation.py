@@ -17,10 +17,12 @@ from scriptmill.plans.jumping import furthest
 def solve_weighted(arrays: DataFrame) -> DataFrame:
     """arrays (array_id, numbers array<bigint>, target): the least left rotation in which the sum of each element times its place
     (from 1) is the target; null if none has it."""
-    n, own = F.size("numbers"), F.posexplode("numbers").alias("place", "x")
-    first = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("bigint"), lambda acc, i: acc + (i + 1) * F.get("numbers", i))
+    n = F.size("numbers")
+    first = F.aggregate(F.transform("numbers", lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     whole = F.aggregate("numbers", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    rows = arrays.where(n > 0).select("array_id", "target", n.alias("n"), first.alias("first"), whole.alias("whole"), own)
+    # The sums come before the elements are rows: beside posexplode they would be worked out again for each.
+    sums = arrays.where(n > 0).select("array_id", "target", "numbers", n.alias("n"), first.alias("first"), whole.alias("whole"))
+    rows = sums.select("array_id", "target", "n", "first", "whole", F.posexplode("numbers").alias("place", "x"))
     before = Window.partitionBy("array_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     moved = F.coalesce(F.sum("x").over(before), F.lit(0))
     found = rows.withColumn("sum", F.col("first") - F.col("place") * F.col("whole") + F.col("n") * moved).where("sum = target").groupBy("array_id").agg(F.min("place").alias("rotation"))
