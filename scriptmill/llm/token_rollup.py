@@ -3,7 +3,7 @@
 A batch is a set of signed rows: +1 inserts a document's count, -1 takes it back, and a revised count is a
 -1 row with the old count and a +1 row with the new. Additive totals by source, language and tokenizer version
 are kept as one small table for each batch, so a commit reads its own rows only, and never the history.
-``compact`` sums the batches there are into one table, and reads it from then on.
+``compact`` sums the batches there are into one table, and reads it from then on; ``vacuum`` deletes tables that nothing names.
 
 A batch's table is written first; it counts once a small entry of the log names it. The entry is moved to its
 final name, the batch's id, by a rename that fails if the name is taken, so of several writers of one batch one
@@ -22,6 +22,7 @@ one of the least doc_id, source and language stays, nulls last.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -38,6 +39,8 @@ SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_t
 
 #: Tokenizer versions that SQL can express: runs of non-blanks; runs of ASCII letters and digits, and single others.
 VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "parts-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
+#: Bytes that a token is taken to have before it is counted.
+ESTIMATED_BYTES = 6
 
 
 class Rollup:
@@ -121,6 +124,17 @@ class Rollup:
         return len(tables) > 1 and self._publish(f"compact-{number + 1:08d}", self._sum(tables), batches)
 
 
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Delete tables that are neither part of the totals nor younger than so many seconds: what compactions have summed, and what
+        writers left that failed. Readers that began before may take as long, and so may writers before their entry."""
+        place = self._place("data")
+        if not self._fs.exists(place):
+            return 0
+        kept = set(self._tables()[0])
+        old = [x for x in self._fs.listStatus(place) if f"data/{x.getPath().getName()}" not in kept and time.time() - x.getModificationTime() / 1000 >= older_than]
+        return sum(bool(self._fs.delete(x.getPath(), True)) for x in old)
+
+
 def tokenizer_counts(docs: DataFrame, paths: list[str]) -> DataFrame:
     """The columns of docs (with text) and v0, v1, ...: each text's tokens by each file of a public tokenizer."""
 
@@ -158,16 +172,16 @@ def counter(path: str):
 
 
 def counted(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, source, lang, a digest of the text and one count for each version: v0, v1, ..."""
+    """doc_id, source, lang, a digest of the text, an estimate of its tokens and one count for each version: v0, v1, ..."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.floor(F.octet_length(text) / ESTIMATED_BYTES).alias("estimate"), text.alias("text"))
     wanted = list((versions or VERSIONS).values())
     files = [p for p in wanted if p.endswith((".model", ".json"))]
     if files and files != wanted:
         raise ValueError("versions are regular expressions or tokenizers' files, not both")
     if files:
         return tokenizer_counts(own, files).drop("text")
-    return own.select("doc_id", "source", "lang", "digest", *[F.regexp_count("text", F.lit(p)).cast("long").alias(f"v{i}") for i, p in enumerate(wanted)])
+    return own.select("doc_id", "source", "lang", "digest", "estimate", *[F.regexp_count("text", F.lit(p)).cast("long").alias(f"v{i}") for i, p in enumerate(wanted)])
 
 
 def deltas(rows: DataFrame, version: str, tokens: str | Column, sign: int) -> DataFrame:
@@ -183,9 +197,10 @@ def copies(rows: DataFrame) -> DataFrame:
 
 
 def history(docs: DataFrame, path: str | None = None, versions: dict[str, str] | None = None) -> Rollup:
-    """Documents counted by the first version; then recounted by the second; then their exact copies taken back.
+    """Documents entered with an estimated count; then revised to what the first version counts, where that differs: the estimate is
+    taken back and the count added; then recounted by the second version; then their exact copies taken back.
 
-    Each batch is sent twice, and the first two are compacted.
+    Each batch is sent twice, and all but the last are compacted.
     """
     spark = docs.sparkSession
     rollup = Rollup(spark, path or scratch_path(spark))
@@ -194,7 +209,9 @@ def history(docs: DataFrame, path: str | None = None, versions: dict[str, str] |
     first, second = names
     gone = materialize(copies(rows))
     both = deltas(gone, first, "v0", -1).unionByName(deltas(gone, second, "v1", -1))
-    for name, own in (("1-insert", deltas(rows, first, "v0", 1)), ("2-recount", deltas(rows, second, "v1", 1)), ("3-delete-copies", both)):
+    other = rows.where("estimate <> v0")
+    revised = deltas(other, first, "estimate", -1).unionByName(deltas(other, first, "v0", 1))
+    for name, own in (("1-insert", deltas(rows, first, "estimate", 1)), ("1-revise", revised), ("2-recount", deltas(rows, second, "v1", 1)), ("3-delete-copies", both)):
         for _ in range(2):
             rollup.commit(name, own)
         if name == "2-recount":

@@ -62,6 +62,27 @@ def test_history_equals_sql_with_null_ids(spark):
     assert last.where("tokenizer_version = 'words-1'").selectExpr("sum(n_docs) as n").head().n == -5  # 1 + 1 + 2 + 1
 
 
+def test_counts_are_revised_by_pairs(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "s", "en"), (2, "word word", "s", "en"), (3, "sixsix", "t", "en")], "doc_id long, text string, source string, lang string")
+    rollup = tr.history(docs)
+    read = lambda batch: {(r.source, r.n_docs, r.n_tokens) for r in spark.read.parquet(f"{rollup.path}/{rollup._read(batch)['data']}").collect()}
+    assert read("batch-1-insert") == {("s", 2, 2), ("t", 1, 1)}  # 11 // 6 + 9 // 6, 6 // 6
+    assert read("batch-1-revise") == {("s", 0, 6)}  # -1 - 1 + 6 + 2; what was estimated right isn't touched
+    assert totals(rollup)["s", "en", "words-1"] == (2, 8)
+
+
+def test_vacuum_deletes_what_nothing_names(spark, tmp_path):
+    r = tr.Rollup(spark, f"file://{tmp_path}/r")
+    assert r.vacuum(0) == 0
+    for i in range(3):
+        r.commit(str(i), spark.createDataFrame([("a", "en", "1", i, 1)], FIELDS))
+    spark.createDataFrame([("a", "en", "1", 1, 9)], tr.SCHEMA).write.parquet(f"{r.path}/data/orphan")
+    r.compact()
+    before = totals(r)
+    assert r.vacuum() == 0 and r.vacuum(0) == 4 and totals(r) == before == {("a", "en", "1"): (3, 3)}
+    assert not r.commit("1", spark.createDataFrame([], FIELDS)) and r.commit("3", spark.createDataFrame([("a", "en", "1", 7, 1)], FIELDS)) and totals(r) == {("a", "en", "1"): (4, 10)}
+
+
 def test_compaction_keeps_totals_and_commits(spark, tmp_path):
     r = tr.Rollup(spark, f"file://{tmp_path}/r")
     rows = [spark.createDataFrame([("a", "en", "1", i, 1)], FIELDS) for i in range(4)]
