@@ -244,29 +244,29 @@ _NATION = "select n_nationkey::bigint as script_id, n_regionkey::bigint + 1 as u
 @query(f"""with s as ({_NATION}) select script_id, name, r + u * uses as refs, w as writes from s, (values ('a', 1::bigint, 1::bigint, 0::bigint), ('k', 1, 1, 0), ('t', 1, 0, 1), ('dead', 0, 0, 0), ('get', 0, 0, 0), ('put', 0, 0, 0), ('i', 1, 0, 0), ('j', 1, 0, 0)) v(name, r, u, w)""")
 def joined_references(spark: SparkSession, sf: str) -> DataFrame:
     """References joined to symbols: reads and writes of each."""
-    made = _made(spark, sf)
-    return analysis.symbol_stats(facts.symbols(made), facts.references(made)).select("script_id", "name", "refs", "writes")
+    made = facts.every(_made(spark, sf))
+    return analysis.symbol_stats(made.symbols, made.references).select("script_id", "name", "refs", "writes")
 
 
 @query(f"with s as ({_NATION}) select script_id, name from s, (values ('dead'), ('get'), ('put')) v(name)")
 def unreferenced_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols without references (anti-join)."""
-    made = _made(spark, sf)
-    return analysis.unused_symbols(facts.symbols(made), facts.references(made)).select("script_id", "name")
+    made = facts.every(_made(spark, sf))
+    return analysis.unused_symbols(made.symbols, made.references).select("script_id", "name")
 
 
 @query(f"with s as ({_NATION}) select script_id, 'k' as name, script_id || '.0' as literal, 1 + uses as uses from s")
 def inlinable_constants(spark: SparkSession, sf: str) -> DataFrame:
     """Constants that are never written, with how often they can be inlined."""
-    made = _made(spark, sf)
-    found = analysis.inlinable_constants(facts.nodes(made), facts.symbols(made))
+    made = facts.every(_made(spark, sf))
+    found = analysis.inlinable_constants(made.nodes, made.symbols)
     return found.groupBy("script_id", "name", "literal").agg(F.count("*").alias("uses"))
 
 
 @query(f"with s as ({_NATION}) select script_id, 'get' as name from s")
 def array_readers(spark: SparkSession, sf: str) -> DataFrame:
     """Functions that index a variable that holds an array (semi-join)."""
-    return analysis.array_readers(facts.nodes(_made(spark, sf))).select("script_id", "name")
+    return analysis.array_readers(facts.every(_made(spark, sf)).nodes).select("script_id", "name")
 
 
 @query(f"with s as ({_NATION}) select script_id, 'k' as name from s")

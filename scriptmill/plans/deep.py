@@ -50,9 +50,9 @@ def dead_chains(spark: SparkSession, sf: str) -> DataFrame:
     call = F.when(used > 0, F.concat(F.lit(" use("), name(F.get("own", (used - 1).cast("int"))), F.lit(");"))).otherwise("")
     extra = F.when(F.col("script_id") % 3 == 0, " var kept = [1, -2], busy = g();").otherwise("")
     made = own.select("script_id", F.concat(F.lit("(function () { "), functions, call, extra, F.lit(" })();")).alias("source"))
-    symbols = written(facts.symbols(made))
-    gone = liveness.dead(written(facts.nodes(made)), symbols, facts.references(made)).units
-    return gone.join(symbols.select("script_id", "symbol_id", "name"), ["script_id", "symbol_id"]).select("script_id", "name", "round")
+    known = facts.every(made)
+    gone = liveness.dead(known.nodes, known.symbols, known.references).units
+    return gone.join(known.symbols.select("script_id", "symbol_id", "name"), ["script_id", "symbol_id"]).select("script_id", "name", "round")
 
 
 # -- proxies ----------------------------------------------------------------------------------------------------------
@@ -70,7 +70,8 @@ def proxy_chains(spark: SparkSession, sf: str) -> DataFrame:
     body = lambda k, i: F.when(k % 10 == 0, first(k)).when(k % 10 == 9, F.concat(name(k), F.lit("(a, b)"))).otherwise(F.concat(F.lit("("), name(F.get("own", i - 1)), F.lit("(b, a))")))
     text = F.array_join(F.transform("own", lambda k, i: F.concat(F.lit("function "), name(k), F.lit("(a, b) { return "), body(k, i), F.lit("; }"))), " ")
     made = own.select("script_id", text.alias("source"))
-    found, _ = proxies.resolve(written(facts.nodes(made)), facts.symbols(made))
+    all_of = facts.every(made)
+    found, _ = proxies.resolve(all_of.nodes, all_of.symbols)
     known = F.col("shape") != "cycle"
     return found.select("script_id", "name", "shape", F.when(known, F.col("op")).alias("op"), F.when(known, F.array_join("places", ",")).alias("places"), "inlinable")
 
@@ -130,9 +131,9 @@ def alias_roots(spark: SparkSession, sf: str) -> DataFrame:
     before = lambda i: F.when(i == 0, "decode").otherwise(F.concat(F.lit("d"), F.get("own", i - 1).cast("string")))
     text = F.array_join(F.transform("own", lambda k, i: F.concat(F.lit("var d"), k.cast("string"), F.lit(" = "), before(i), F.lit(";"))), " ")
     made = own.select("script_id", F.concat(F.lit("function decode(i) { return i; } "), text).alias("source"))
-    symbols = written(facts.symbols(made))
-    found, _ = rotation.aliases(written(facts.nodes(made)), symbols)
-    names = symbols.select("script_id", "symbol_id", "name")
+    known = facts.every(made)
+    found, _ = rotation.aliases(known.nodes, known.symbols)
+    names = known.symbols.select("script_id", "symbol_id", "name")
     root = names.withColumnsRenamed({"symbol_id": "root", "name": "root_name"})
     return found.join(names, ["script_id", "symbol_id"]).join(root, ["script_id", "root"]).where("root_name = 'decode'").select("script_id", "name", "hops")
 
@@ -161,8 +162,9 @@ def edited_scripts(spark: SparkSession, sf: str) -> DataFrame:
     k = lambda x: x.cast("string")
     part = lambda x: F.concat(F.lit("var a"), k(x), F.lit(" = "), k(x), F.lit("; use(a"), k(x), F.lit("); drop(a"), k(x), F.lit("); two("), k(x), F.lit(");"))
     own = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("script_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), part), " ").alias("source"))
-    nodes, at = written(facts.nodes(own)), written(spans.spans(own))
-    names = facts.symbols(own).select("script_id", "symbol_id", F.concat(F.lit("b"), F.substring("name", 2, 20)).alias("name"))
+    known, at = facts.every(own), written(spans.spans(own))
+    nodes = known.nodes
+    names = known.symbols.select("script_id", "symbol_id", F.concat(F.lit("b"), F.substring("name", 2, 20)).alias("name"))
     called = twigs.find(nodes, p.expression_statement(p.call(p.capture("f"), p.capture("x")))).select("script_id", "node_id", F.col("f.str").alias("f"), F.coalesce(F.substring("x.str", 2, 20), F.col("x.num").cast("long").cast("string")).alias("x"))
     texts = lambda name, n: F.array_repeat(F.concat(F.lit(f"{name}("), F.col("x"), F.lit(");")), n)
     action = F.when(F.col("f") == "use", "before").when(F.col("f") == "drop", "remove").otherwise("replace")

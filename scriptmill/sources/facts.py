@@ -8,6 +8,7 @@ table functions js_nodes, js_symbols and js_references do the same in SQL, later
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from scriptmill.kernel.parser import SyntaxFault, parse
 from scriptmill.kernel.scope import Scope, analyse
 from scriptmill.kernel.tree import FIELDS, Node
+from scriptmill.session import scratch
 
 NODES = "node_id int, last_id int, parent_id int, slot string, ordinal int, kind string, op string, str_value string, num_value double, bool_value boolean, symbol_id int, is_write boolean"
 SYMBOLS = "symbol_id int, scope_id int, name string, n_redeclared int, n_references int, n_writes int"
@@ -164,6 +166,42 @@ def scopes(scripts: DataFrame, key: str = "script_id", source: str = "source") -
     return _table(scripts, key, source, SCOPES, scope_rows)
 
 
+@dataclass
+class Facts:
+    """All tables of a set of scripts, from one pass of the parser."""
+
+    nodes: DataFrame
+    symbols: DataFrame
+    references: DataFrame
+    scopes: DataFrame
+
+
+#: A row's table, and its columns.
+KINDS: dict[str, tuple[str, Callable]] = {"nodes": (NODES, node_rows), "symbols": (SYMBOLS, symbol_rows), "references": (REFERENCES, reference_rows), "scopes": (SCOPES, scope_rows)}
+
+
+def every(scripts: DataFrame, key: str = "script_id", source: str = "source") -> Facts:
+    """Parses each script once and writes what it finds, a folder for each table: plans that read several tables, or one several
+    times, don't parse again. The tables lie where session.written puts others."""
+    columns = {c.split()[0]: c for table, _ in KINDS.values() for c in table.split(", ")}
+    places = {name: [list(columns).index(c.split()[0]) for c in table.split(", ")] for name, (table, _) in KINDS.items()}
+
+    def rows(program: Node, root: Scope) -> Iterator[tuple]:
+        for name, (_, f) in KINDS.items():
+            for r in f(program, root):
+                out = [None] * len(columns) + [name]
+                for at, x in zip(places[name], r):
+                    out[at] = x
+                yield tuple(out)
+
+    tagged = _table(scripts, key, source, ", ".join([*columns.values(), "fact string"]), rows)
+    path = scratch(scripts.sparkSession)
+    tagged.write.partitionBy("fact").parquet(path)
+    key_type = dict(scripts.dtypes)[key]
+    whole = scripts.sparkSession.read.schema(f"`{key}` {key_type}, {', '.join(columns.values())}, fact string").parquet(path)
+    return Facts(*[whole.where(F.col("fact") == name).select(key, *(c.split()[0] for c in table.split(", "))) for name, (table, _) in KINDS.items()])
+
+
 @F.udtf(returnType=NODES)
 class JsNodes:
     def eval(self, source: str):

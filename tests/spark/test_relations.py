@@ -74,6 +74,16 @@ def test_facts(spark):
     assert sorted((r.name, r.literal) for r in analysis.inlinable_constants(facts.nodes(fine), facts.symbols(fine)).collect()) == [("a", "x"), ("a", "x")]
 
 
+def test_all_facts_from_one_pass(spark):
+    df = spark.createDataFrame([("a", "var a = 1, b = a; function f(p) { let c = p; c++; return window; } f(b);"), ("b", "not a script ("), ("c", None), ("d", "")], "page string, js string")
+    known = facts.every(df, "page", "js")
+    for name in ("nodes", "symbols", "references", "scopes"):
+        want = getattr(facts, name)(df, "page", "js")
+        got = getattr(known, name)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert facts.every(df.limit(0), "page", "js").nodes.count() == 0
+
+
 def test_sources_sinks_and_streams(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.js").write_text("f(1+1)\n// é")
