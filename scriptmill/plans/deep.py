@@ -217,13 +217,15 @@ def _ends() -> Column:
     return F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k == 3, 1e20).when(k == 4, -1e20).when(k == 5, F.col("p_retailprice")).otherwise(-F.col("p_retailprice") / 1000)
 
 
-@query(f"""with v as (select p_partkey, {_ENDS} as x from part)
-select p_partkey, case when abs(x) >= 9007199254740992 or isnan(x) then x else ceil(x) end as up, case when abs(x) >= 9007199254740992 or isnan(x) then x else floor(x) end as down, case when abs(x) >= 9007199254740992 or isnan(x) then x else trunc(x) end as whole,
-case when abs(x) >= 9007199254740992 or isnan(x) then x else sign(x) * floor(abs(x) + 0.5) end as near, case when isfinite(x * x) then x * x end as squared from v""")
+@query(f"""with v as (select p_partkey, {_ENDS} as x from part), r as (
+select p_partkey, x, case when abs(x) >= 9007199254740992 or isnan(x) then x else ceil(x) end as up, case when abs(x) >= 9007199254740992 or isnan(x) then x else floor(x) end as down, case when abs(x) >= 9007199254740992 or isnan(x) then x else trunc(x) end as whole,
+case when abs(x) >= 9007199254740992 or isnan(x) then x else sign(x) * floor(abs(x) + 0.5) end as near, case when isfinite(x * x) then x * x end as squared from v)
+select p_partkey, case when isnan(up) then 0.25 else up end as up, case when isnan(down) then 0.25 else down end as down, case when isnan(whole) then 0.25 else whole end as whole, case when isnan(near) then 0.25 else near end as near, squared from r""")
 def js_math_ends(spark: SparkSession, sf: str) -> DataFrame:
-    """Rounding of NaN, infinities and numbers beyond 64-bit integers."""
+    """Rounding of NaN, infinities and numbers beyond 64-bit integers; what stays NaN, which equals nothing, is shown as a quarter."""
     d = _t(spark, sf, "part").select("p_partkey", _ends().alias("x"))
-    return d.select("p_partkey", js.ceil("x").alias("up"), js.floor("x").alias("down"), js.trunc("x").alias("whole"), js.round_("x").alias("near"), js.math_pow("x", 2.0).alias("squared"))
+    shown = lambda c: F.when(F.isnan(c), 0.25).otherwise(c)
+    return d.select("p_partkey", shown(js.ceil("x")).alias("up"), shown(js.floor("x")).alias("down"), shown(js.trunc("x")).alias("whole"), shown(js.round_("x")).alias("near"), js.math_pow("x", 2.0).alias("squared"))
 
 
 @query(f"""with v as (select p_partkey, {_ENDS} as x, case when p_partkey % 2 = 0 then 'nan'::double else 1e20 end as y from part), n as (select *, not isnan(x) and not isnan(y) as fine from v)
