@@ -12,7 +12,7 @@ Items go out to the tasks in groups of about TERMS_AT_ONCE terms; however many g
 
 Edge cases: null and empty texts and those without a term count for nothing; an item without terms has no rows, and
 terms that nearly all documents hold weigh 0; equal scores go by doc_id, null last; each row of items is an item and
-each row of documents a document, whatever its id; very long texts are read whole; empty tables give no rows; other
+each row of documents a document, whatever its id; very long texts are read whole, a piece at a time; empty tables give no rows; other
 columns are ignored.
 """
 
@@ -36,6 +36,8 @@ TERMS_AT_ONCE = 500_000
 BLOCK_POSTINGS, BLOCK_DOCS = 1 << 20, 1 << 14
 #: Entries of each list that are read before the threshold is looked at for the first time; then twice as many, and so on.
 FIRST_STEP, LAST_STEP = 8, 1 << 10
+#: Bytes of a text that are cut into terms at once.
+PIECE = 1 << 22
 #: Groups by doc_id in which the tasks' candidates of an item meet first.
 SPREAD = 16
 
@@ -49,6 +51,20 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def counted(text: bytes) -> tuple[int, Counter]:
+    """How many terms a text has, and how often each; a long text is cut between terms, so that its terms are never all held."""
+    n, counts, lo = 0, Counter(), 0
+    plain = text.translate(_TABLE)
+    while lo < len(plain):
+        hi = plain.find(b" ", lo + PIECE)
+        hi = len(plain) if hi < 0 else hi
+        own = plain[lo:hi].split()
+        n += len(own)
+        counts.update(own)
+        lo = hi
+    return n, counts
+
+
 def weight(documents: int, holding: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * holding + 1)))
 
@@ -75,15 +91,15 @@ def _forward(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
         for b in batches:
             rows, ns, at, ids, tfs = [], [], [0], [], []
             for i, text in enumerate(utf8_texts(b.column(1))):
-                own = terms_of(text)
-                if not own:
+                n, own = counted(text)
+                if not n:
                     continue
                 documents += 1
-                length += len(own)
-                found = [(vocabulary[t], c) for t, c in Counter(own).items() if t in vocabulary]
+                length += n
+                found = [(vocabulary[t], c) for t, c in own.items() if t in vocabulary]
                 if found:
                     rows.append(i)
-                    ns.append(len(own))
+                    ns.append(n)
                     ids += [t for t, _ in found]
                     tfs += [c for _, c in found]
                     at.append(len(ids))

@@ -74,6 +74,13 @@ def test_empty_tables(corpus):
     assert ts.rank(d.limit(0), i).count() == ts.rank(d, i.limit(0)).count() == ts.rank(d.where("text is null"), i).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7, 1 << 22])
+def test_long_texts_are_cut_between_terms(monkeypatch, piece):
+    monkeypatch.setattr(ts, "PIECE", piece)
+    for text in ("", "  ", "ab", "ab cd", " Ab,ab é-é\x85x  long0123456789 b ", "a" * 50 + " b"):
+        assert ts.counted(text.encode()) == (len(terms(text)), Counter(t.encode() for t in terms(text)))
+
+
 def test_stops_before_the_lists_end():
     """Many documents hold both terms seldom, few often: the few are found near the tops."""
     rng = np.random.default_rng(1)
