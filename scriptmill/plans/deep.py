@@ -12,6 +12,11 @@ from scriptmill.plans.catalogue import _t, query
 from scriptmill.session import written
 from scriptmill.sources import bundles, facts, scripts, spans
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that rows are dealt out to. Named, so that Spark doesn't join them by their bytes: a small row may be much work."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # -- expressions ------------------------------------------------------------------------------------------------------
 
 
@@ -104,11 +109,14 @@ def dispatch_cases(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select l_linenumber as array_id, 17 as rotation from lineitem group by 1 having count(*) > 17""")
 def long_rotations(spark: SparkSession, sf: str) -> DataFrame:
     """The parts of all lines of one number as an array, with the checksum that it has when turned by 17: seven arrays of any length."""
-    own = _t(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("array_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"))), lambda x: x["l_partkey"]).alias("numbers"))
-    n = F.size("numbers")
-    turned = F.concat(F.slice("numbers", F.lit(18), n - 17), F.slice("numbers", F.lit(1), F.lit(17)))
-    target = F.aggregate(F.transform("turned", lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return rotation.solve_weighted(own.where(n > 17).withColumn("turned", turned).withColumn("target", target)).select("array_id", "rotation")
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]
+    lines = _t(spark, sf, "lineitem").select(F.col("l_linenumber").alias("array_id"), F.col("l_partkey").alias("x"), *order)
+    own = written(rotation.placed(lines, order, _tasks(spark)))
+    n = own.groupBy("array_id").agg(F.count("*").alias("n")).where("n > 17")
+    weight = F.pmod(F.col("place") - 17, F.col("n")) + 1
+    target = F.sum(F.col("x").cast("decimal(19,0)") * weight.cast("decimal(18,0)")).cast("decimal(38,0)")
+    targets = own.join(F.broadcast(n), "array_id").groupBy("array_id").agg(target.alias("target"))
+    return rotation.solve_placed(own, targets).select("array_id", "rotation")
 
 
 @query("""select c_custkey // 10 as array_id, 3 as rotation from customer group by 1 having count(*) = 10""")
