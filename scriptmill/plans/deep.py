@@ -17,6 +17,11 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows by script, in as many tasks as the session shuffles to: parsing takes far longer than reading."""
+    return rows.repartition(_tasks(rows.sparkSession), "script_id")
+
+
 # -- expressions ------------------------------------------------------------------------------------------------------
 
 
@@ -69,7 +74,7 @@ case when place < 9 then case when place % 2 = 0 then '0,1' else '1,0' end end a
 def proxy_chains(spark: SparkSession, sf: str) -> DataFrame:
     """Ten customers as functions: one adds, subtracts or multiplies, each next one hands its parameters on the other way round, and the
     last one calls itself."""
-    own = _t(spark, sf, "customer").groupBy((F.col("c_custkey") / 10).cast("bigint").alias("script_id")).agg(F.sort_array(F.collect_list("c_custkey")).alias("own"))
+    own = _dealt(_t(spark, sf, "customer").select((F.col("c_custkey") / 10).cast("bigint").alias("script_id"), "c_custkey")).groupBy("script_id").agg(F.sort_array(F.collect_list("c_custkey")).alias("own"))
     name = lambda k: F.concat(F.lit("f"), k.cast("string"))
     first = lambda k: F.concat(F.lit("a "), F.when(k % 3 == 0, "+").when(k % 3 == 1, "-").otherwise("*"), F.lit(" b"))
     body = lambda k, i: F.when(k % 10 == 0, first(k)).when(k % 10 == 9, F.concat(name(k), F.lit("(a, b)"))).otherwise(F.concat(F.lit("("), name(F.get("own", i - 1)), F.lit("(b, a))")))
