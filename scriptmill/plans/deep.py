@@ -53,7 +53,7 @@ r as (select script_id, 'f' || o_orderkey as name, (n - place)::int as round fro
 select script_id, name, round from r union all select script_id, 'kept', 0 from p where place = 1 and script_id % 3 = 0""")
 def dead_chains(spark: SparkSession, sf: str) -> DataFrame:
     """A customer's orders of one priority as functions, each using the one before; what nothing uses dies from the last one back to one that is used."""
-    own = _t(spark, sf, "orders").groupBy((F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("long")).alias("script_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("own"))
+    own = _dealt(_t(spark, sf, "orders").select((F.col("o_custkey") * 10 + F.substring("o_orderpriority", 1, 1).cast("long")).alias("script_id"), "o_orderkey")).groupBy("script_id").agg(F.sort_array(F.collect_list("o_orderkey")).alias("own"))
     name = lambda k: F.concat(F.lit("f"), k.cast("string"))
     functions = F.array_join(F.transform("own", lambda k, i: F.concat(F.lit("function "), name(k), F.lit("() { return "), F.when(i > 0, F.concat(name(F.get("own", i - 1)), F.lit("() + 1"))).otherwise("1"), F.lit("; }"))), " ")
     used = F.col("script_id") % (F.size("own") + 1)
