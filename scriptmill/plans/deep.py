@@ -174,7 +174,7 @@ def edited_scripts(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' scripts with four statements an order: a name renamed, a statement inserted, one removed, and one replaced by two."""
     k = lambda x: x.cast("string")
     part = lambda x: F.concat(F.lit("var a"), k(x), F.lit(" = "), k(x), F.lit("; use(a"), k(x), F.lit("); drop(a"), k(x), F.lit("); two("), k(x), F.lit(");"))
-    own = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("script_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), part), " ").alias("source"))
+    own = _dealt(_t(spark, sf, "orders").select(F.col("o_custkey").alias("script_id"), "o_orderkey")).groupBy("script_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), part), " ").alias("source"))
     known, at = facts.every(own), written(spans.spans(own))
     nodes = known.nodes
     names = known.symbols.select("script_id", "symbol_id", F.concat(F.lit("b"), F.substring("name", 2, 20)).alias("name"))
