@@ -194,7 +194,7 @@ def pattern_matches(spark: SparkSession, sf: str) -> DataFrame:
     branch's block is one log after any number of counters."""
     step = F.when(F.col("c_nationkey") % 2 == 0, "log(seen);").otherwise("log(seen); stop();")
     text = F.concat(F.lit('store.put("'), F.col("c_name"), F.lit('", '), F.col("c_acctbal").cast("string"), F.lit('); if (segment === "'), F.col("c_mktsegment"), F.lit('") { '), F.repeat(F.lit("seen++; "), F.col("c_nationkey").cast("int") % 3), step, F.lit(" }"))
-    nodes = written(facts.nodes(_t(spark, sf, "customer").select(F.col("c_custkey").alias("script_id"), text.alias("source"))))
+    nodes = written(facts.nodes(_dealt(_t(spark, sf, "customer").select(F.col("c_custkey").alias("script_id"), text.alias("source")))))
     amount = p.or_(p.capture("amount", p.any_number), p.unary("-", p.capture("owed", p.any_number)))
     put = twigs.find(nodes, p.call(p.member(p.identifier("store"), p.identifier("put")), p.capture("key", p.any_string), amount)).select("script_id", F.col("key.str").alias("key"), F.coalesce("amount.num", "owed.num").alias("amount"), F.when(F.col("owed").isNotNull(), "-").otherwise("").alias("sign"))
     test = p.binary("===", p.identifier("segment"), p.capture("segment"))
