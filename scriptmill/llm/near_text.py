@@ -1,15 +1,18 @@
 """Near copies of texts: components under Jaccard similarity of word shingles.
 
-Candidates come from MinHash bands: texts of similarity s share one of BANDS bands of ROWS least hashes with
-probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8. Texts of one bucket are then compared by their
-whole shingle sets, so no link is below the threshold. Buckets of the same members are compared once.
+Candidates come from SimHash by bit-sliced comparison, as in ``simhash``, with sketches wide enough for the similarity. A sketch bit is
+set where more than half of a text's distinct shingles have it; two texts of similarity s differ in a bit with probability
+arccos(2s / (1 + s)) / pi at most, which is 0.151 at 0.8. The bits of a table are its key, apart from all other tables' bits, and there are
+as many tables as leave one pair in 1 / MISSED of similarity 0.8 without a common key. Within a key the first word of the sketches is
+compared bit-sliced (NEAR_BITS), whoever is left by all SKETCH_WORDS words (SKETCH_BITS). The candidates' components are then compared by
+whole shingle sets, so that no link is below the threshold, and a set goes to one component, not to each of its keys.
 
 Within a task texts meet by their rarest shingles: of two similar texts the first shingle that they share, rare ones first, lies
 near the beginning of both (prefixes), so that texts alike below the threshold are hardly ever compared, however many they are.
 
-A bucket of more rows than a block is cut into blocks, each with the bucket's least text as a pivot, and rows are
+A component of more rows or shingles than a block is cut into blocks, each with the component's least text as a pivot, and rows are
 compared within their block. Copies of one text are one component by then, in linear work, whatever their number.
-Where a bucket has other components left, their rows, and only they, visit the other blocks, so that no link is
+Where candidates have other components left, their rows, and only they, visit the other blocks, so that no link is
 lost. Texts that are linked already, also by others, aren't compared again.
 
 Edge cases: null and blank texts are alike; texts of fewer words than a shingle have one shingle; a component
@@ -19,6 +22,7 @@ gives an empty result; other columns are carried or ignored, whatever their name
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +30,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptmill.llm import simhash
 from scriptmill.llm.common import hold, join_unique, materialize, short_batches, utf8_texts
 from scriptmill.llm.components import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 20, 5
+#: Texts of this similarity differ in a bit of their sketches with this probability.
+DIFFER = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+#: Bits in which texts of this similarity may differ: four deviations more than they do on average, in one word and in all.
+SKETCH_WORDS = 4
+NEAR_BITS, SKETCH_BITS = (math.ceil(n * DIFFER + 4 * math.sqrt(n * DIFFER * (1 - DIFFER))) for n in (64, 64 * SKETCH_WORDS))
+#: Pairs without a common key; unrelated rows of a key, which bit-slicing compares 64 at a time; bits of a key.
+MISSED, UNRELATED, KEY_BITS = 4e-4, 1024, range(4, 21)
 BLOCK_ROWS = 2048
-#: Hashes that are permuted at a time: bounds memory for long texts.
-PERMUTED = 1 << 12
+#: Shingles of a block: bounds memory where texts are long.
+BLOCK_SHINGLES = 1 << 21
+#: Hashes that are mixed at a time: bounds memory for long texts.
+MIXED = 1 << 12
+#: Bytes of shingle sets that leave a worker at once.
+SENT = 1 << 22
 
 _rng = np.random.default_rng(11)
-_ODD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_ODD = _rng.integers(0, 1 << 63, 96, np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, 96, np.uint64)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -54,19 +69,63 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist())], np.uint64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A key for each band."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for lo in range(0, len(own), PERMUTED):
-        x = (own[lo : lo + PERMUTED, None] ^ _XOR) * _ODD
+def key_tables(texts: int) -> tuple[int, int]:
+    """Bits of a key, and how many tables there are."""
+    bits = min(max(round(math.log2(max(texts, 1) / UNRELATED)), KEY_BITS[0]), KEY_BITS[-1])
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** bits)))
+
+
+def sketch(own: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, list[int]]:
+    """A set's sketch (SKETCH_WORDS words) and its key in each table."""
+    words = SKETCH_WORDS - (-bits * tables // 64)
+    ones = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(own), MIXED):
+        x = (own[lo : lo + MIXED, None] ^ _XOR[:words]) * _ODD[:words]
         x ^= x >> np.uint64(32)
-        x *= _ODD
-        np.minimum(least, x.min(0), out=least)
-    key = np.zeros(BANDS, np.uint64)
-    for part in least.reshape(BANDS, ROWS).T:
-        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64).tolist()
+        x *= _ODD[:words]
+        x ^= x >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+    one = (2 * ones > len(own)).astype(np.uint8)
+    keys = one[64 * SKETCH_WORDS :][: bits * tables].reshape(tables, bits) @ (1 << np.arange(bits))
+    return np.packbits(one[: 64 * SKETCH_WORDS], bitorder="little").view("<u8"), keys.tolist()
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches may be similar."""
+    hit = simhash.near_pairs(x[:, 0], y[:, 0], NEAR_BITS)
+    hit[hit] = np.bitwise_count(x[hit] ^ y[hit]).sum(1) <= SKETCH_BITS
+    return hit
+
+
+def sketch_links(left: np.ndarray, right: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may be similar, between two lists of sketches (right None: within the left)."""
+    own = left if right is None else np.concatenate([left, right])
+    other, shift = (own, 0) if right is None else (right, len(left))
+    vertical = simhash.planes(other[:, 0])
+    label, apart = np.arange(len(own)), len(own)
+    found: list[tuple[int, int]] = []
+    lo, step = 0, 1  # the first goes alone, for it may link all
+    while lo < len(left) and apart > 1:
+        at = lo // 64 if right is None else 0  # rows before have been probed
+        masks = simhash.within(vertical[:, at:], left[lo : lo + step, 0], NEAR_BITS)
+        i, j = np.nonzero(np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little"))
+        i, j = i + lo, j + 64 * at
+        inside = (j < len(other)) & (j > i) if right is None else j < len(other)
+        i, j = i[inside], j[inside] + shift
+        asked = label[i] != label[j]
+        i, j = i[asked], j[asked]
+        hit = np.bitwise_count(own[i] ^ own[j]).sum(1) <= SKETCH_BITS
+        i, j = i[hit], j[hit]
+        for hits in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+            a, b = int(i[hits[0]]), j[hits]
+            b = b[label[b] != label[a]]
+            others, first = np.unique(label[b], return_index=True)
+            if len(others):
+                found += [(a, x) for x in b[first].tolist()]
+                label[np.isin(label, others)] = label[a]
+                apart -= len(others)
+        lo, step = lo + step, min(8 * step, simhash.PROBES)
+    return found
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -169,52 +228,75 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(same[found[:, 0]], pa.int64()), "b": pa.array(same[found[:, 1]], pa.int64())})
 
 
+def candidates(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(same, k) of the texts that may be similar to others: k is their component. ``keys``: same, words (a sketch), keys."""
+    words = [F.col("words")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)]
+    keyed = keys.select(F.col("same").alias("node"), *words, F.posexplode("keys").alias("t", "k"))
+    return components(simhash.compared(keyed, sketch_links, near_pairs, block_rows)).select(F.col("node").alias("same"), F.col("component").alias("k"))
+
+
 def linked(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) between the hashes of texts."""
+    bits, tables = key_tables(docs.count())
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near_text")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([bands(shingles(t)) for t in utf8_texts(b.column(3))], pa.list_(pa.int64()))], ["same", "none", "id", "bands"])
+            sizes, words, keys = [], [], []
+            for t in utf8_texts(b.column(3)):
+                own = shingles(t)
+                word, key = sketch(own, bits, tables)
+                sizes.append(len(own))
+                words.append(word.view(np.int64).tolist())
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["same", "none", "id", "size", "words", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near_text")
+        names = ["same", "shingles"]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in utf8_texts(b.column(1))], pa.binary())], ["same", "shingles"])
+            same, own = [], []
+            for x, t in zip(b.column(0).to_pylist(), utf8_texts(b.column(1))):
+                same.append(x)
+                own.append(shingles(t).tobytes())
+                if sum(map(len, own[-64:])) > SENT or len(own) == 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(own, pa.binary())], names)
+                    same, own = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(own, pa.binary())], names)
 
     named = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]
     texts = _texts(short_batches(docs)).select("same", *named, "text")
     # Of equal texts one is looked at again, that of the least id: a row's place doesn't depend on its text alone.
     first = F.min(F.struct("none", "id")).alias("first")
-    keys = materialize(texts.mapInArrow(banded, "same long, none boolean, id long, bands array<long>").groupBy("same").agg(F.first("bands").alias("bands"), first))
-    each = keys.select("same", F.posexplode("bands").alias("t", "k"))
-    sizes = each.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("same").alias("pivot"), F.bit_xor(F.xxhash64("same")).alias("members")).where("n > 1")
-    sizes = sizes.groupBy("n", "pivot", "members").agg(F.min(F.struct("t", "k")).alias("of")).select("of.t", "of.k", "pivot", F.ceil(F.col("n") / block_rows).cast("int").alias("g"))
-    sizes = materialize(sizes)
+    own = texts.mapInArrow(sketched, "same long, none boolean, id long, size long, words array<long>, keys array<int>")
+    keys = materialize(own.groupBy("same").agg(F.first("size").alias("size"), F.first("words").alias("words"), F.first("keys").alias("keys"), first))
+    placed = materialize(candidates(keys, block_rows).join(keys.select("same", "size", "first.none", "first.id"), "same"))
+    blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("g")
+    sizes = materialize(placed.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("same").alias("pivot")).select("k", "pivot", blocks))
     every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    rows = materialize(each.join(sizes, ["t", "k"]).withColumn("x", F.pmod(F.xxhash64("same"), F.col("g")).cast("int")))
-    wanted = rows.select("same").distinct().join(keys.select("same", "first.none", "first.id"), "same")
+    rows = materialize(join_unique(placed.select("same", "k"), sizes, "k").withColumn("x", F.pmod(F.xxhash64("same"), F.col("g")).cast("int")))
+    wanted = placed.select("same", "none", "id")
     content = texts.join(wanted, ["same", "none", "id"], "left_semi").select("same", "text").mapInArrow(sets, "same long, shingles binary").groupBy("same").agg(F.first("shingles").alias("shingles"))
     large = sizes.where("g > 1")
     several = large.limit(1).count() > 0
     content = materialize(content) if several else content
 
-    def compared(placed: DataFrame) -> DataFrame:
-        return placed.join(content, "same").groupBy("t", "k", "x").applyInArrow(_compare, "a long, b long")
+    def compared(asked: DataFrame) -> DataFrame:
+        return asked.join(content, "same").groupBy("k", "x").applyInArrow(_compare, "a long, b long")
 
     plain = [F.lit(0).alias("side"), F.lit(0).cast("long").alias("label")]
-    near = rows.select("same", "t", "k", "x", *plain)
+    near = rows.select("same", "k", "x", *plain)
     if not several:
         return compared(near)
-    near = near.unionByName(large.select(F.col("pivot").alias("same"), "t", "k", every.alias("x"), *plain))
+    near = near.unionByName(large.select(F.col("pivot").alias("same"), "k", every.alias("x"), *plain))
     edges = materialize(compared(near))
-    # What is not in its bucket's largest component visits the other blocks.
+    # What is not in the largest component of its candidates visits the other blocks.
     groups = components(edges).select(F.col("node").alias("same"), "component")
-    members = materialize(rows.where("g > 1").join(groups, "same", "left").withColumn("label", F.coalesce("component", "same")).select("same", "t", "k", "g", "x", "label"))
-    counts = members.groupBy("t", "k", "label").agg(F.count("*").alias("n")).groupBy("t", "k").agg(F.max_by("label", "n").alias("largest"), F.count("*").alias("n")).where("n > 1").select("t", "k", "largest")
-    left = materialize(members.join(counts, ["t", "k"]))
+    members = materialize(rows.where("g > 1").join(groups, "same", "left").withColumn("label", F.coalesce("component", "same")).select("same", "k", "g", "x", "label"))
+    counts = members.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("label", "n").alias("largest"), F.count("*").alias("n")).where("n > 1").select("k", "largest")
+    left = materialize(members.join(counts, "k"))
     visits = left.where("label <> largest").withColumn("own", F.col("x")).withColumn("x", every).where("x <> own")
-    columns = ["same", "t", "k", "x", "side", "label"]
+    columns = ["same", "k", "x", "side", "label"]
     more = compared(left.withColumn("side", F.lit(0)).select(*columns).unionByName(visits.withColumn("side", F.lit(1)).select(*columns)))
     return edges.unionByName(more)
 

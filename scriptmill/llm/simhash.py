@@ -19,7 +19,7 @@ their class's id; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -80,7 +80,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def _add(count: list[np.ndarray], over: np.ndarray, four: list[np.ndarray], radius: int) -> np.ndarray:
-    """Carry-save: four more planes in the counters of three planes; returns where the radius is exceeded by now."""
+    """Carry-save: four more planes in the counters of three planes or more; returns where the radius is exceeded by now."""
     a, b, c, d = four
     ab = a ^ b
     low, carry = ab ^ c, (a & b) | (ab & c)  # a + b + c = 2 carry + low
@@ -92,10 +92,13 @@ def _add(count: list[np.ndarray], over: np.ndarray, four: list[np.ndarray], radi
     k1 = count[1] & twos
     count[1] = count[1] ^ twos
     y = k1 ^ fours
-    over = over | (k1 & fours) | (count[2] & y)
+    carry = (k1 & fours) | (count[2] & y)
     count[2] = count[2] ^ y
+    for i in range(3, len(count)):
+        count[i], carry = count[i] ^ carry, count[i] & carry
+    over = over | carry
     more, same = np.zeros_like(over), ~np.zeros_like(over)
-    for bit in (2, 1, 0):  # count > radius, from the top bit down
+    for bit in range(len(count) - 1, -1, -1):  # count > radius, from the top bit down
         if radius >> bit & 1:
             same = same & count[bit]
         else:
@@ -114,7 +117,7 @@ def within(vertical: np.ndarray, probes: np.ndarray, radius: int, read: list[int
     flip = flip.view(np.uint64)
     shape = (len(probes), vertical.shape[1])
     out = np.zeros(shape, np.uint64)
-    count, over, left = [np.zeros(shape, np.uint64) for _ in range(3)], np.zeros(shape, np.uint64), None
+    count, over, left = [np.zeros(shape, np.uint64) for _ in range(max(3, radius.bit_length()))], np.zeros(shape, np.uint64), None
     for i in range(0, BITS, 4):
         if left is None:
             four = [vertical[j] ^ flip[:, j, None] for j in range(i, i + 4)]
@@ -207,33 +210,47 @@ def linked(distinct: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS[0]
         raise ValueError("the counters hold radii up to 7")
     masks = tables(radius, free)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k"))
+    find = lambda left, right: links(left, right, radius)
+    return compared(keyed.withColumnRenamed("fp", "node"), find, lambda x, y: near_pairs(x, y, radius), block_rows)
+
+
+def compared(keyed: DataFrame, find: Callable[[np.ndarray, np.ndarray | None], list[tuple[int, int]]], near: Callable[[np.ndarray, np.ndarray], np.ndarray], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (a, b) between the nodes of each key of ``keyed`` (node, t, k and, if the node isn't its own fingerprint, its words).
+
+    ``find`` gives a spanning forest within a block or between two, ``near`` says which pairs of small keys are linked.
+    """
+    words = [c for c in keyed.columns if c not in ("node", "t", "k")]
     # Rows alone with their key have no partner; large keys are cut into blocks.
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / block_rows).cast("int").alias("g"))
     rows = keyed.join(sizes, ["t", "k"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("fp", "t", "k", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("node", "t", "k", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partitions are sorted by group, so a group ends where the key changes."""
-        pairs: list[np.ndarray] = []
+        pairs: list[tuple[np.ndarray, ...]] = []
         out: list[np.ndarray] = []
 
         def flush(group: list[np.ndarray]) -> None:
-            fp, own, x, y = np.concatenate(group, axis=1)
-            n = len(fp)
+            node, own, x, y, *rest = np.concatenate(group, axis=1)
+            fp = np.stack(rest, axis=1).view(np.uint64) if rest else node.view(np.uint64)
+            n = len(node)
             if x[0] == y[0] and n <= SMALL_GROUP:
                 i, j = np.triu_indices(n, 1)
-                pairs.append(np.stack([fp[i], fp[j]]))
+                pairs.append((node[i], node[j], fp[i], fp[j]))
                 return
-            left, right = (fp, None) if x[0] == y[0] else (fp[own == x[0]], fp[own == y[0]])
-            every = fp if right is None else np.concatenate([left, right])
-            found = np.array(links(left.view(np.uint64), None if right is None else right.view(np.uint64), radius), np.int64).reshape(-1, 2)
-            out.append(every[found].T)
+            if x[0] == y[0]:
+                found = find(fp, None)
+            else:
+                first, second = own == x[0], own == y[0]
+                node = np.concatenate([node[first], node[second]])
+                found = find(fp[first], fp[second])
+            out.append(node[np.array(found, np.int64).reshape(-1, 2)].T)
 
         def ready(least: int) -> Iterator[pa.RecordBatch]:
-            if pairs and sum(p.shape[1] for p in pairs) >= least:
-                a, b = np.concatenate(pairs, axis=1)
-                hit = near_pairs(a.view(np.uint64), b.view(np.uint64), radius)
+            if pairs and sum(len(p[0]) for p in pairs) >= least:
+                a, b, x, y = (np.concatenate(c) for c in zip(*pairs))
+                hit = near(x, y)
                 out.append(np.stack([a[hit], b[hit]]))
                 pairs.clear()
             if out and sum(o.shape[1] for o in out) >= min(least, 10_000):
@@ -243,8 +260,8 @@ def linked(distinct: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS[0]
 
         last, group = None, []
         for batch in batches:
-            c = np.stack([col.to_numpy(zero_copy_only=False).astype(np.int64) for col in batch.columns])  # fp, t, k, own, x, y
-            key = c[[1, 2, 4, 5]]
+            c = np.stack([col.to_numpy(zero_copy_only=False).astype(np.int64) for col in batch.columns])  # node, t, k, own, x, y, words
+            key, own = c[[1, 2, 4, 5]], np.delete(c, (1, 2), axis=0)
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), c.shape[1]]):
                 k = tuple(key[:, lo].tolist()) if hi > lo else last
@@ -252,7 +269,7 @@ def linked(distinct: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS[0]
                     if group:
                         flush(group)
                     last, group = k, []
-                group.append(c[[0, 3, 4, 5], lo:hi])
+                group.append(own[:, lo:hi])
             yield from ready(1 << 16)
         if group:
             flush(group)

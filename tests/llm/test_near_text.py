@@ -136,3 +136,65 @@ def test_links_equal_all_pairs():
         assert set(found) <= set(pairs)
         assert components(found) == components(pairs)
         assert len(found) == len(set(components([]))) - len(set(components(pairs)))  # a forest
+
+
+def _sketches(rng, n):
+    """Sketches around a few centres, up to more bits away than candidates may be."""
+    centres = rng.integers(0, 2, (5, 256), dtype=np.uint8)
+    bits = centres[rng.integers(5, size=n)] ^ (rng.random((n, 256)) < rng.choice([0.0, 0.05, 0.15, 0.3], (n, 1))).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+def _may_be_similar(a, b):
+    far = np.bitwise_count(a ^ b)
+    return bool(far[0] <= near_text.NEAR_BITS and far.sum() <= near_text.SKETCH_BITS)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_bit_sliced_candidates_equal_all_pairs(sides):
+    rng = np.random.default_rng(sides)
+    left = _sketches(rng, 300)
+    right = _sketches(rng, 150) if sides == 2 else None
+    every = left if right is None else np.concatenate([left, right])
+    n, m = len(every), len(left)
+    pairs = {(i, j) for i in range(n) for j in range(i + 1, n) if (right is None or i < m <= j) and _may_be_similar(every[i], every[j])}
+    found = near_text.sketch_links(left, right)
+    assert set(found) <= pairs
+
+    def groups(edges):
+        root = list(range(n))
+        for a, b in edges:
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+        return root
+
+    assert groups(found) == groups(pairs) and len(found) == n - len(set(groups(pairs)))  # a forest
+    i, j = rng.integers(n, size=(2, 500))
+    assert near_text.near_pairs(every[i], every[j]).tolist() == [_may_be_similar(a, b) for a, b in zip(every[i], every[j])]
+
+
+@pytest.mark.parametrize("texts", [1000, 1_000_000])
+def test_similar_texts_share_a_key_and_are_near(texts):
+    """500 pairs of similarity 0.8."""
+    rng = np.random.default_rng(9)
+    bits, tables = near_text.key_tables(texts)
+    missed = 0
+    for size in [9, 90] * 250:
+        x = rng.integers(1, 1 << 63, size + size // 9, dtype=np.uint64)
+        one, other = (near_text.sketch(s, bits, tables) for s in (x[:size], np.concatenate([x[: size - size // 9], x[size:]])))
+        missed += not (_may_be_similar(one[0], other[0]) and any(a == b for a, b in zip(one[1], other[1])))
+    assert missed <= 1
+    assert near_text.sketch(np.zeros(0, np.uint64), bits, tables)[1] == [0] * tables
+
+
+def test_candidates_come_from_the_bit_sliced_comparison(spark, monkeypatch):
+    """The stage's rows get there through simhash's comparison of sketches, by key."""
+    from scriptmill.llm import simhash
+
+    asked = []
+    compared = simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda keyed, *rest: asked.append(sorted(keyed.columns)) or compared(keyed, *rest))
+    rows = [(i, f"w{i} " + " ".join(f"w{x}" for x in range(100))) for i in range(3)] + [(9, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect()) == [0, 9]
+    assert asked == [["k", "node", "t", "w0", "w1", "w2", "w3"]]
