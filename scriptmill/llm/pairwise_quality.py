@@ -127,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """From at most ``sample_rows`` labelled documents outside the held-out fold."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__q"), F.max("quality").alias("__most"))
     sample = known.where((F.col("__q") == F.col("__most")) & (crc_mod("__id", FOLDS) != 0)).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).select("__id", "__q")
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id").select("__id", "__q", "text")
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(sample), "__id").select("__id", "__q", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("pairwise_quality")
@@ -149,7 +149,7 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
                 s = ranking.scores(_all_features(part, 2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "text")
+    own = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "text")
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -198,3 +198,15 @@ def test_candidates_come_from_the_bit_sliced_comparison(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect()) == [0, 9]
     assert asked == [["k", "node", "t", "w0", "w1", "w2", "w3"]]
+
+
+def test_blocks_of_long_texts_are_bounded_by_shingles(spark, monkeypatch):
+    """40 near copies of 400 shingles: one block by their rows, many by their shingles."""
+    rows = [(i, " ".join(f"w{x}" if x != 9 * i else f"x{i}" for x in range(404))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = []
+    materialize = near_text.materialize
+    monkeypatch.setattr(near_text, "materialize", lambda df: made.append(materialize(df)) or made[-1])
+    monkeypatch.setattr(near_text, "BLOCK_SHINGLES", 2000)
+    assert [r.doc_id for r in near_text.distinct(docs).collect()] == [0]
+    assert [r.g for df in made if df.columns[-1] == "g" for r in df.collect()] == [8]  # 16,000 shingles
