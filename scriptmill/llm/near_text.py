@@ -49,6 +49,8 @@ BLOCK_SHINGLES = 1 << 21
 MIXED = 1 << 12
 #: Bytes of shingle sets that leave a worker at once.
 SENT = 1 << 22
+#: Bits a row of the filter that tells whose texts are shuffled, and of the whole filter: bounds what is broadcast.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 27
 
 _rng = np.random.default_rng(11)
 _ODD = _rng.integers(0, 1 << 63, 96, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,6 +230,29 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(same[found[:, 0]], pa.int64()), "b": pa.array(same[found[:, 1]], pa.int64())})
 
 
+def _bits(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two places of each hash among ``size`` bits, a power of two."""
+    own = hashes.view(np.uint64) if hashes.dtype == np.int64 else hashes
+    return [((own >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64) for shift in (0, 32)]
+
+
+def marked(rows: DataFrame, column: str, most: int = FILTER_BITS) -> np.ndarray:
+    """A filter of the column's hashes: FILTER_SHARE bits a row or more, but ``most`` bits at any size."""
+    size = min(most, 1 << max(10, math.ceil(math.log2(max(1, rows.count()) * FILTER_SHARE))))
+    places = F.explode(F.array(*[F.shiftrightunsigned(column, shift).bitwiseAND(F.lit(size - 1)) for shift in (0, 32)])).alias("at")
+    part = F.shiftright("at", 5)
+    found = rows.select(places).groupBy(part.alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 32, np.uint32)
+    out[found.column("part").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def passes(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a filter; all that are in it."""
+    each = [(marks[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) for at in _bits(hashes, 32 * len(marks))]
+    return (each[0] & each[1]).astype(bool)
+
+
 def candidates(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(same, k) of the texts that may be similar to others: k is their component. ``keys``: same, words (a sketch), keys."""
     words = [F.col("words")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)]
@@ -237,6 +262,7 @@ def candidates(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def linked(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) between the hashes of texts."""
+    spark = docs.sparkSession
     bits, tables = key_tables(docs.count())
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,17 +278,20 @@ def linked(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["same", "none", "id", "size", "words", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingle sets of the texts that pass the filter."""
         hold("near_text")
-        names = ["same", "shingles"]
+        names = ["same", "row", "shingles"]
         for b in batches:
-            same, own = [], []
-            for x, t in zip(b.column(0).to_pylist(), utf8_texts(b.column(1))):
+            b = b.filter(pa.array(passes(marks.value, b.column(1).to_numpy())))
+            same, row, own = [], [], []
+            for x, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8_texts(b.column(2))):
                 same.append(x)
+                row.append(y)
                 own.append(shingles(t).tobytes())
                 if sum(map(len, own[-64:])) > SENT or len(own) == 64:
-                    yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(own, pa.binary())], names)
-                    same, own = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(own, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(row, pa.int64()), pa.array(own, pa.binary())], names)
+                    same, row, own = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(row, pa.int64()), pa.array(own, pa.binary())], names)
 
     named = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]
     texts = _texts(short_batches(docs)).select("same", *named, "text")
@@ -275,8 +304,13 @@ def linked(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     sizes = materialize(placed.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("same").alias("pivot")).select("k", "pivot", blocks))
     every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     rows = materialize(join_unique(placed.select("same", "k"), sizes, "k").withColumn("x", F.pmod(F.xxhash64("same"), F.col("g")).cast("int")))
-    wanted = placed.select("same", "none", "id")
-    content = texts.join(wanted, ["same", "none", "id"], "left_semi").select("same", "text").mapInArrow(sets, "same long, shingles binary").groupBy("same").agg(F.first("shingles").alias("shingles"))
+    # Only texts that have candidates are shuffled, and few others: a bounded filter tells, the join decides.
+    wanted = placed.select("same", F.xxhash64("same", "none", "id").alias("row"))
+    marks = spark.sparkContext.broadcast(marked(wanted, "row"))
+    asked_for = short_batches(texts.select("same", F.xxhash64("same", "none", "id").alias("row"), "text"))
+    passed = asked_for.mapInArrow(sets, "same long, row long, shingles binary").join(wanted.withColumnRenamed("row", "first"), "same")
+    # Not a key of the join: sets are dealt by text once.
+    content = passed.where(F.col("row").bitwiseXOR(F.col("first")) == 0).groupBy("same").agg(F.first("shingles").alias("shingles"))
     large = sizes.where("g > 1")
     several = large.limit(1).count() > 0
     content = materialize(content) if several else content

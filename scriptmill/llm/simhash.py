@@ -8,7 +8,7 @@ is a table whose key is those blocks' bits, and only rows of one key are compare
 Within a key the bits are stored vertically: a plane for each bit position holds that bit of 64 fingerprints
 in each word. Many probes are compared to a whole block at once (the pairs of many small keys share a block): planes that
 differ are added to carry-save counters, and a word of a block is left as soon as all of its counters exceed the radius. Keys with more rows than a
-block are cut into blocks, and each pair of blocks is a task of its own, so that a hot key spreads out.
+block are cut into blocks, each a group of its own, so that a hot key spreads out; rows outside its largest class visit the other blocks.
 A task emits a spanning forest of the links it finds, not the links. ``free`` follows from the number of
 distinct fingerprints, so that a key of unrelated ones has few rows at any size.
 
@@ -36,6 +36,8 @@ FREE_BLOCKS, UNRELATED = (2, 3, 4), 16
 BLOCK_ROWS = 4096
 #: Groups of so few rows put their pairs into shared blocks.
 SMALL_GROUP = 16
+#: Rows of a large key that come to all of its blocks, about; blocks' worth of visitors that a block gets at once.
+PIVOTS, VISITORS = 16, 16
 #: Hashes counted at a time: bounds memory for long texts.
 COUNTED = 1 << 14
 
@@ -214,38 +216,84 @@ def linked(distinct: DataFrame, radius: int = RADIUS, free: int = FREE_BLOCKS[0]
     return compared(keyed.withColumnRenamed("fp", "node"), find, lambda x, y: near_pairs(x, y, radius), block_rows)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[np.ndarray | None]:
+    """The columns of each group; the first ``key`` columns name it, and partitions are sorted by them. None ends a batch."""
+    last, group = None, []
+    for batch in batches:
+        c = np.stack([col.to_numpy(zero_copy_only=False).astype(np.int64) for col in batch.columns])
+        cuts = np.flatnonzero((c[:key, 1:] != c[:key, :-1]).any(0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), c.shape[1]]):
+            k = tuple(c[:key, lo].tolist()) if hi > lo else last
+            if k != last:
+                if group:
+                    yield np.concatenate(group, axis=1)
+                last, group = k, []
+            group.append(c[:, lo:hi])
+        yield None
+    if group:
+        yield np.concatenate(group, axis=1)
+
+
+def _first_of(n: int, edges: list[tuple[int, int]]) -> np.ndarray:
+    """For each of n rows the first row of its component."""
+    root = list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in edges:
+        i, j = top(i), top(j)
+        root[max(i, j)] = min(i, j)
+    return np.array([top(i) for i in range(n)], np.int64)
+
+
 def compared(keyed: DataFrame, find: Callable[[np.ndarray, np.ndarray | None], list[tuple[int, int]]], near: Callable[[np.ndarray, np.ndarray], np.ndarray], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) between the nodes of each key of ``keyed`` (node, t, k and, if the node isn't its own fingerprint, its words).
 
     ``find`` gives a spanning forest within a block or between two, ``near`` says which pairs of small keys are linked.
+
+    A key of more rows than a block is cut into blocks, each with some PIVOTS of the key's rows. Rows that their block links to one
+    pivot are one class in all blocks. Whoever isn't in the key's largest class visits the other blocks, and nobody else does, so
+    a group of near copies takes linear work and gives linearly many edges, whatever its size, and each pair has been compared
+    or is in one class. A visit gives an edge for each pair of classes, not of rows.
     """
     words = [c for c in keyed.columns if c not in ("node", "t", "k")]
-    # Rows alone with their key have no partner; large keys are cut into blocks.
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / block_rows).cast("int").alias("g"))
-    rows = keyed.join(sizes, ["t", "k"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("node", "t", "k", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *words)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partitions are sorted by group, so a group ends where the key changes."""
+    keyed = keyed.withColumn("k", F.col("k").cast("long"))
+    # Only large keys are broadcast, fewer than one in block_rows rows.
+    large = materialize(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).withColumn("g", F.ceil(F.col("n") / block_rows).cast("int")))
+    some = large.limit(1).count() > 0
+    order = F.xxhash64("node", F.lit(7)).bitwiseAND(F.lit((1 << 53) - 1))  # one order in all keys: pivots first, and forests share edges
+    pivot = order / F.lit(float(1 << 53)) * F.col("n") < PIVOTS
+    if some:
+        rows = keyed.join(F.broadcast(large), ["t", "k"], "left").withColumn("own", F.when(F.col("g").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("g"))).cast("int"))
+        at = F.explode(F.when(F.col("g").isNotNull() & pivot, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.greatest("own", F.lit(0)))))
+        rows = rows.select("t", "k", at.alias("x"), "own", "node", *words)
+    else:
+        rows = keyed.select("t", "k", F.lit(0).alias("x"), F.lit(-1).alias("own"), "node", *words)
+    fields = ["a", "b", "t", "k", "own", *words]
+    schema = "a long, b long, t int, k long, own int" + "".join(f", {w} long" for w in words)
+
+    def within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (t is null), and (node, class, t, k, block, words) of the rows of large keys."""
         pairs: list[tuple[np.ndarray, ...]] = []
         out: list[np.ndarray] = []
+        classes: list[np.ndarray] = []
 
-        def flush(group: list[np.ndarray]) -> None:
-            node, own, x, y, *rest = np.concatenate(group, axis=1)
-            fp = np.stack(rest, axis=1).view(np.uint64) if rest else node.view(np.uint64)
+        def of(group: np.ndarray) -> None:
+            (t, k, x, own, node), rest = group[:5], group[5:]
+            fp = np.ascontiguousarray(rest.T).view(np.uint64) if len(rest) else node.view(np.uint64)
             n = len(node)
-            if x[0] == y[0] and n <= SMALL_GROUP:
+            if own[0] < 0 and n <= SMALL_GROUP:
                 i, j = np.triu_indices(n, 1)
                 pairs.append((node[i], node[j], fp[i], fp[j]))
                 return
-            if x[0] == y[0]:
-                found = find(fp, None)
-            else:
-                first, second = own == x[0], own == y[0]
-                node = np.concatenate([node[first], node[second]])
-                found = find(fp[first], fp[second])
+            found = find(fp, None)
             out.append(node[np.array(found, np.int64).reshape(-1, 2)].T)
+            if own[0] >= 0:
+                label = node[_first_of(n, found)]
+                classes.append(np.concatenate([np.stack([node, label, t, k, own]), rest])[:, own == x])
 
         def ready(least: int) -> Iterator[pa.RecordBatch]:
             if pairs and sum(len(p[0]) for p in pairs) >= least:
@@ -256,26 +304,54 @@ def compared(keyed: DataFrame, find: Callable[[np.ndarray, np.ndarray | None], l
             if out and sum(o.shape[1] for o in out) >= min(least, 10_000):
                 a, b = np.concatenate(out, axis=1)
                 out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        last, group = None, []
-        for batch in batches:
-            c = np.stack([col.to_numpy(zero_copy_only=False).astype(np.int64) for col in batch.columns])  # node, t, k, own, x, y, words
-            key, own = c[[1, 2, 4, 5]], np.delete(c, (1, 2), axis=0)
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), c.shape[1]]):
-                k = tuple(key[:, lo].tolist()) if hi > lo else last
-                if k != last:
-                    if group:
-                        flush(group)
-                    last, group = k, []
-                group.append(own[:, lo:hi])
-            yield from ready(1 << 16)
-        if group:
-            flush(group)
+                none = [pa.nulls(len(a), f.type) for f in empty[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], fields)
+            if classes and sum(c.shape[1] for c in classes) >= min(least, 10_000):
+                c = np.concatenate(classes, axis=1)
+                classes.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(v).cast(f.type) for v, f in zip(c, empty)], fields)
+
+        empty = [pa.field(f, {"t": pa.int32(), "own": pa.int32()}.get(f, pa.int64())) for f in fields]
+        for group in _groups(batches, 3):
+            if group is None:
+                yield from ready(1 << 16)
+            else:
+                of(group)
         yield from ready(0)
 
-    return rows.repartition("t", "k", "x", "y").sortWithinPartitions("t", "k", "x", "y").mapInArrow(compare, "a long, b long")
+    apart = rows.repartition("t", "k", "x").sortWithinPartitions("t", "k", "x", order).mapInArrow(within_blocks, schema)
+    if not some:
+        return apart.select("a", "b")
+    apart = materialize(apart)
+    classes = apart.where("t is not null")
+    by_class = classes.groupBy("t", "k", "b").agg(F.count("*").alias("n"))
+    spread = by_class.groupBy("t", "k").agg(F.max_by("b", "n").alias("largest"), F.count("*").alias("c"), (F.sum("n") - F.max("n")).alias("others"))
+    still = materialize(spread.where("c > 1").join(F.broadcast(large.select("t", "k", "g")), ["t", "k"]).withColumn("parts", F.ceil(F.col("others") / (VISITORS * block_rows)).cast("int")).drop("c", "others"))
+    rows = classes.join(F.broadcast(still), ["t", "k"]).withColumn("visits", F.col("b") != F.col("largest"))
+    home = rows.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    away = rows.where("visits").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).where("x <> own").withColumn("y", F.pmod(F.xxhash64("a", F.lit(9)), F.col("parts")).cast("int"))
+    rows = home.unionByName(away).select("t", "k", "x", "y", "own", F.col("visits").cast("int").alias("visits"), "b", F.col("a").alias("node"), *words)
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Visitors of blocks before meet all rows of a block, others those of the largest class: no pair meets twice."""
+        for group in _groups(batches, 4):
+            if group is None:
+                continue
+            (_, _, x, _, own, visits, label, node), rest = group[:8], group[8:]
+            fp = np.ascontiguousarray(rest.T).view(np.uint64) if len(rest) else node.view(np.uint64)
+            for one, other in ((own < x, own == x), (own > x, (own == x) & (visits == 0))):
+                if not one.any() or not other.any():
+                    continue
+                found = np.array(find(fp[one], fp[other]), np.int64).reshape(-1, 2)
+                both = np.concatenate([np.flatnonzero(one), np.flatnonzero(other)])
+                i, j = both[found].T
+                other_class = label[i] != label[j]
+                i, j = i[other_class], j[other_class]
+                at = list({c: n for n, c in enumerate(zip(label[i].tolist(), label[j].tolist()))}.values())
+                yield pa.RecordBatch.from_arrays([pa.array(node[i[at]], pa.int64()), pa.array(node[j[at]], pa.int64())], ["a", "b"])
+
+    more = rows.repartition("t", "k", "x", "y").sortWithinPartitions("t", "k", "x", "y").mapInArrow(visited, "a long, b long")
+    return apart.where("t is null").select("a", "b").unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, free: int | None = None, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -210,3 +210,33 @@ def test_blocks_of_long_texts_are_bounded_by_shingles(spark, monkeypatch):
     monkeypatch.setattr(near_text, "BLOCK_SHINGLES", 2000)
     assert [r.doc_id for r in near_text.distinct(docs).collect()] == [0]
     assert [r.g for df in made if df.columns[-1] == "g" for r in df.collect()] == [8]  # 16,000 shingles
+
+
+def test_the_filter_has_all_its_rows_and_few_others(spark):
+    """What the filter stops isn't shuffled; a filter that is too small stops less, but none of its own rows."""
+    own = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 3000)
+    rows = spark.createDataFrame([(int(x),) for x in own], "row long")
+    others = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 100_000)
+    marks = near_text.marked(rows, "row")
+    assert near_text.passes(marks, own).all() and near_text.passes(marks, others).mean() < 0.03
+    small = near_text.marked(rows, "row", 1 << 12)
+    assert len(small) == 128 and near_text.passes(small, own).all()
+    assert len(near_text.passes(near_text.marked(rows.limit(0), "row"), others)) == 100_000
+
+
+def test_texts_without_candidates_are_not_read_again(spark, monkeypatch):
+    """200 unrelated texts and 3 near copies: shingle sets of few more than those leave the workers."""
+    rows = [(i, " ".join(f"t{i}-{x}" for x in range(60))) for i in range(200)] + [(200 + i, f"w{i} " + " ".join(f"w{x}" for x in range(100))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sent = []
+    arrow = type(docs).mapInArrow
+
+    def watched(self, run, schema, *rest):
+        out = arrow(self, run, schema, *rest)
+        if "shingles" in str(schema):
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    assert near_text.distinct(docs).count() == 201
+    assert len(sent) == 1 and 3 <= sent[0].count() < 60

@@ -179,3 +179,75 @@ def test_edges_that_differ_each_time_lose_no_link(spark):
 
     edges = spark.range(40).select(F.col("id").alias("g"), which.asNondeterministic()("id").alias("forest")).join(forests, "forest").select((F.col("a") + 4 * F.col("g")).alias("a"), (F.col("b") + 4 * F.col("g")).alias("b"))
     assert {r.node: r.component for r in components(edges).collect()} == {i: i // 4 * 4 for i in range(160)}
+
+
+def _groups(nodes, edges):
+    label = {n: n for n in nodes}
+
+    def top(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        label[b] = a
+    return [top(n) for n in nodes]
+
+
+def _asked(spark, fps, monkeypatch, block_rows):
+    """Edges between fingerprints of one key, how many there are, and the rows that blocks were given."""
+    given = []
+    materialize = sh.materialize
+    monkeypatch.setattr(sh, "materialize", lambda df: given.append(materialize(df)) or given[-1])
+    keyed = spark.createDataFrame([(f, 0, 0) for f in fps], "node long, t int, k long").repartition(3)
+    find = lambda x, y: sh.links(x, y, 4)
+    return [tuple(r) for r in sh.compared(keyed, find, lambda x, y: sh.near_pairs(x, y, 4), block_rows).collect()], given
+
+
+def test_near_copies_of_a_large_key_give_linearly_many_edges(spark, monkeypatch):
+    """600 fingerprints around one, in 60 blocks of a key, and 20 others: pairs of blocks would give some 36,000 edges."""
+    rng = np.random.default_rng(3)
+    near = [1 << int(a) | 1 << int(b) for a, b in zip(rng.integers(0, 31, 2000), rng.integers(31, 62, 2000))]
+    fps = sorted(set(near))[:600] + [int(x) for x in rng.integers(1 << 61, 1 << 62, 20)]
+    edges, given = _asked(spark, fps, monkeypatch, 10)
+    assert len(set(_groups(fps, edges))) == 21
+    assert len(edges) < 4 * 600
+    still = next(df for df in given if df.columns[-1] == "parts").collect()
+    classes = next(df for df in given if df.columns[:2] == ["a", "b"]).where("t is not null").collect()
+    assert len(classes) == 620 and sum(r.b != still[0].largest for r in classes) <= 20 + 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_of_a_large_key_lose_no_link(spark, monkeypatch, seed):
+    """Some groups of one key, chains among them, against all pairs."""
+    rng = np.random.default_rng(seed)
+    centres = [int(x) for x in rng.integers(0, 1 << 62, 6)]
+    fps = set()
+    for c in centres:
+        x = c
+        for _ in range(30):
+            y = (x if rng.random() < 0.5 else c) ^ sum({1 << int(i) for i in rng.integers(0, 62, int(rng.integers(1, 4)))})
+            x = y
+            fps.add(y)
+    fps = sorted(fps)
+    edges, _ = _asked(spark, fps, monkeypatch, 7)
+    pairs = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
+    assert {tuple(sorted(e)) for e in edges} <= {tuple(sorted(p)) for p in pairs}
+    assert _groups(fps, edges) == _groups(fps, pairs)
+
+
+def test_rounds_are_over_what_stars_leave(spark, monkeypatch):
+    """Three hubs that share 100 leaves, and a chain: few edges come to the rounds, and none of stars alone."""
+    from scriptmill.llm import components as co
+
+    came = []
+    rounds = co._rounds
+    monkeypatch.setattr(co, "_rounds", lambda both: came.append(both.count()) or rounds(both))
+    stars = [(hub, 10 + leaf) for hub in range(3) for leaf in range(100)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long").repartition(3)
+    found = {r.node: r.component for r in co.components(frame(stars)).collect()}
+    assert len(found) == 103 and set(found.values()) == {0} and came in ([], [2], [4])
+    chain = [(1000 + i, 1001 + i) for i in range(40)]
+    found = {r.node: r.component for r in co.components(frame([*stars, *chain, (5000, 5000)])).collect()}
+    assert found == {n: 0 for n in [0, 1, 2, *range(10, 110)]} | {n: 1000 for n in range(1000, 1041)} | {5000: 5000}
