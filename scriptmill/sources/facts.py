@@ -12,13 +12,13 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scriptmill.kernel.parser import SyntaxFault, parse
 from scriptmill.kernel.scope import Scope, analyse
 from scriptmill.kernel.tree import FIELDS, Node
-from scriptmill.session import scratch
+from scriptmill.session import scratch, shuffled
 
 NODES = "node_id int, last_id int, parent_id int, slot string, ordinal int, kind string, op string, str_value string, num_value double, bool_value boolean, symbol_id int, is_write boolean"
 SYMBOLS = "symbol_id int, scope_id int, name string, n_redeclared int, n_references int, n_writes int"
@@ -196,10 +196,11 @@ def every(scripts: DataFrame, key: str = "script_id", source: str = "source") ->
 
     tagged = _table(scripts, key, source, ", ".join([*columns.values(), "fact string"]), rows)
     path = scratch(scripts.sparkSession)
-    tagged.write.partitionBy("fact").parquet(path)
+    seen = Observation()
+    tagged.observe(seen, *[F.count(F.when(F.col("fact") == name, 1)).alias(name) for name in KINDS]).write.partitionBy("fact").parquet(path)
     key_type = dict(scripts.dtypes)[key]
     whole = scripts.sparkSession.read.schema(f"`{key}` {key_type}, {', '.join(columns.values())}, fact string").parquet(path)
-    return Facts(*[whole.where(F.col("fact") == name).select(key, *(c.split()[0] for c in table.split(", "))) for name, (table, _) in KINDS.items()])
+    return Facts(*[shuffled(whole.where(F.col("fact") == name).select(key, *(c.split()[0] for c in table.split(", "))), seen.get[name]) for name, (table, _) in KINDS.items()])
 
 
 @F.udtf(returnType=NODES)
