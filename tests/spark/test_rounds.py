@@ -288,7 +288,7 @@ def test_facts_of_many_scripts_are_not_broadcast(spark):
     assert _broadcasts(known.scopes.join(known.symbols, "script_id"))
 
 
-@pytest.mark.parametrize("name", ["pattern_matches", "proxy_chains"])
+@pytest.mark.parametrize("name", ["edited_scripts", "pattern_matches", "proxy_chains"])
 def test_rows_are_the_same_without_broadcasts(spark, name, monkeypatch):
     from scriptmill import session
     from scriptmill.plans import deep
